@@ -27,6 +27,12 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read(spark, manifest, ids=False)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import pii
+
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm import bpe
 
@@ -49,8 +55,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_token_ids, op3_bpe, op6_sharding)
+    made = (op1_token_ids, op2_pii, op3_bpe, op6_sharding, op7_toxicity)
     return {f.__name__: f for f in made}
 
 
