@@ -62,8 +62,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import neardup
+
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_token_ids, op2_pii, op3_bpe, op6_sharding, op7_toxicity)
+    made = (op1_token_ids, op2_pii, op3_bpe, op6_sharding, op7_toxicity, op9_neardup)
     return {f.__name__: f for f in made}
 
 
