@@ -39,6 +39,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), _word_bpe(), digests=True)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import decontamination
+
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm import sharding
 
@@ -69,7 +75,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_token_ids, op2_pii, op3_bpe, op6_sharding, op7_toxicity, op9_neardup)
+    made = (op1_token_ids, op2_pii, op3_bpe, op5_decontamination, op6_sharding, op7_toxicity, op9_neardup)
     return {f.__name__: f for f in made}
 
 
