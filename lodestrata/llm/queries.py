@@ -68,6 +68,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import secret_scan
+
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.find_secrets(_table(spark, sf_dir, "documents"), forest)
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm import neardup
 
@@ -75,7 +82,7 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_token_ids, op2_pii, op3_bpe, op5_decontamination, op6_sharding, op7_toxicity, op9_neardup)
+    made = (op1_token_ids, op2_pii, op3_bpe, op5_decontamination, op6_sharding, op7_toxicity, op8_secrets, op9_neardup)
     return {f.__name__: f for f in made}
 
 
