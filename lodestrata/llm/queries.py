@@ -81,8 +81,14 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import ann
+
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_token_ids, op2_pii, op3_bpe, op5_decontamination, op6_sharding, op7_toxicity, op8_secrets, op9_neardup)
+    made = (op1_token_ids, op2_pii, op3_bpe, op5_decontamination, op6_sharding, op7_toxicity, op8_secrets, op9_neardup, op10_nearest)
     return {f.__name__: f for f in made}
 
 
