@@ -220,22 +220,21 @@ def find(index: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int,
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, item_words, distance, similarity, start_word, end_word) of every leak, without a shuffle."""
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str):
+    """(ids, word hashes) of BLOCK_ITEMS items or so at a time."""
     blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
     items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    out = None
     for k in range(blocks):
-        rows = items.where(F.col("b") == k).orderBy("i", "t").collect()  # about BLOCK_ITEMS rows
+        rows = items.where(F.col("b") == k).orderBy("i", "t").collect()
         hashes = []
         for _, _, h, first in normal_words(pa.array([r["t"] for r in rows], pa.string())):
             hashes += [h[first[j] : first[j + 1]] for j in range(len(first) - 1)]
-        found = _against(docs, [r["i"] for r in rows], hashes, text, key)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield [r["i"] for r in rows], hashes
 
 
-def _against(docs: DataFrame, ids: list[int], hashes: list[np.ndarray], text: str, key: str) -> DataFrame:
+def _against(docs: DataFrame, ids: list[int], hashes: list[np.ndarray]) -> DataFrame:
+    """(doc_id, item_id, item_words, distance, similarity, start_word, end_word) of every leak of these items."""
+
     def run(batches):
         index = Index(ids, hashes)
         for batch in batches:
@@ -247,5 +246,34 @@ def _against(docs: DataFrame, ids: list[int], hashes: list[np.ndarray], text: st
                 columns += [pa.array([1 - r[2] / k for r, k in zip(rows, n)], pa.float64()), *(pa.array([r[c] for r in rows], pa.int64()) for c in (3, 4))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "item_words", "distance", "similarity", "start_word", "end_word"])
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), text)
-    return own.mapInArrow(run, "doc_id long, item_id long, item_words long, distance long, similarity double, start_word long, end_word long")
+    return docs.mapInArrow(run, "doc_id long, item_id long, item_words long, distance long, similarity double, start_word long, end_word long")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, item_words, distance, similarity, start_word, end_word) of every leak, without a shuffle."""
+    own, out = docs.select(F.col(key).cast("long").alias("doc_id"), text), None
+    for ids, hashes in _blocks(benchmark, item_key, item_text):
+        found = _against(own, ids, hashes)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows without a leak of any item, with all their columns, without a shuffle."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+
+    def cleaner(ids, hashes):
+        def run(batches):
+            index = Index(ids, hashes)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for a, _, h, first in normal_words(batch.column(1)):
+                    if len(h) and len(index.grams):
+                        keep[[a + r[0] for r in find(index, h, first)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for ids, hashes in _blocks(benchmark, item_key, item_text):
+        own = own.mapInArrow(cleaner(ids, hashes), own.schema)
+    return own.select("row.*")

@@ -225,3 +225,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     joined = sketches.select("doc_id", "n_shingles", "s1", "s2").join(known, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("_known"), F.col("_c")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def without_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One document of each component, that of the smallest key, with all its columns. Rows of equal key are one document."""
+    found = near_duplicates(docs, size, percent, text, key)
+    gone = store.kept(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")

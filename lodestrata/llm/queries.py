@@ -39,6 +39,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), _word_bpe(), digests=True)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm import language
+
+    return language.identify(_table(spark, sf_dir, "pages"), language.fit(_table(spark, sf_dir, "documents")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm import decontamination
 
@@ -88,9 +94,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_token_ids, op2_pii, op3_bpe, op5_decontamination, op6_sharding, op7_toxicity, op8_secrets, op9_neardup, op10_nearest)
-    return {f.__name__: f for f in made}
+    made = (op1_token_ids, op2_pii, op3_bpe, op4_language, op5_decontamination, op6_sharding, op7_toxicity, op8_secrets, op9_neardup, op10_nearest)
+    import corpus_pipeline
+
+    return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL expresses none of these over whole tables in reasonable time; tests hold each against brute force."""
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

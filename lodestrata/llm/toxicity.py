@@ -264,22 +264,29 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return Model(found, *regress(np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)))
 
 
-def toxicity(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, kept columns..., held_out, score, predicted) of every row, without a shuffle."""
-    fields = docs.select(key, *keep).schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", held_out boolean, score double, predicted int"
+def judged(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(row struct of the kept columns (None: all), held_out, score, predicted) of every row, without a shuffle."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row")
+    held = (F.coalesce(remainder(key), F.lit(1)) == 0).alias("held_out")
+    own = docs.select(row, held, F.col(text).alias("text"))
 
     def run(batches):
         auto = Automaton(model.lexicon)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
             for k in range(0, batch.num_rows, 2000):
-                x = np.array([auto.features(t or "") for t in texts.slice(k, 2000).to_pylist()], float)
-                own, score = batch.slice(k, 2000), model.scores(x)
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                    names=[*own.schema.names[:-1], "score", "predicted"],
-                )
+                part = batch.slice(k, 2000)
+                x = np.array([auto.features(t or "") for t in part.column(2).to_pylist()], float)
+                score = model.scores(x)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["row", "held_out", "score", "predicted"])
 
-    held = (F.coalesce(remainder(key), F.lit(1)) == 0).alias("held_out")
-    return docs.select(key, *keep, held, text).mapInArrow(run, schema)
+    return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def toxicity(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, held_out, score, predicted) of every row."""
+    return judged(docs, model, text, key, (key,)).select(F.col(f"row.`{key}`").alias(key), "held_out", "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns."""
+    return judged(docs, model, text, key).where(F.col("predicted") == 0).select("row.*")
