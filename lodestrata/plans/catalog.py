@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from lodestrata.plans import census, codecs, layout, naming  # noqa: F401  they register their queries
+from lodestrata.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
