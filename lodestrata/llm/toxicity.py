@@ -125,7 +125,7 @@ class Automaton:
                     if e == 0:
                         exact = max(exact, self.weight[node])
                     else:
-                        fuzzy = max(fuzzy, self.weight[node] / (1 + e))
+                        fuzzy = max(fuzzy, self.weight[node] * 0.75**e)
             self.accepts.append((exact, 0.0 if exact else fuzzy) if exact or fuzzy else None)
             self.states.append(pairs)
         return self.known[pairs]
@@ -179,17 +179,21 @@ class Automaton:
                 j = 2 if quoted else j
                 sums[j] += x
                 most[j] = max(most[j], x)
-        return [*np.log1p(sums), *most, sums[0] / (20 + len(said))]
+        return [*np.log1p(sums), *most, (sums[0] + sums[1]) / (20 + len(said))]
 
 
 def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Terms with their log-odds; a term that a kept, equally telling stem begins with is left out."""
-    out = {}
-    for term, pos, neg in counts:
-        odds = np.log((pos + 0.2) / (toxic + 1)) - np.log((neg + 0.2) / (clean + 1))
-        if odds > 1.5:
-            out[term] = float(odds)
-    return {t: w for t, w in out.items() if not any(out.get(t[:n] + "*", 0) >= w - 0.01 for n in range(5, min(9, len(t.rstrip("*")))))}
+    """Terms with their log-odds. All words stay; a stem stays if it tells more texts than any one word of it, and no shorter stem tells as much."""
+    odds = {t: float(np.log((pos + 0.2) / (toxic + 1)) - np.log((neg + 0.2) / (clean + 1))) for t, pos, neg in counts}
+    seen = {t: pos for t, pos, _ in counts}
+    best: dict[str, int] = {}
+    for t in seen:
+        if not t.endswith("*"):
+            for n in range(5, min(9, len(t) + 1)):
+                best[t[:n]] = max(best.get(t[:n], 0), seen[t])
+    stems = {t: w for t, w in odds.items() if t.endswith("*") and w > 1.5 and seen[t] >= 1.3 * best.get(t[:-1], 0)}
+    stems = {t: w for t, w in stems.items() if not any(stems.get(t[:n] + "*", 0) >= w - 0.01 for n in range(5, len(t) - 1))}
+    return {t: w for t, w in odds.items() if not t.endswith("*") and w > 1.5} | stems
 
 
 @dataclass
@@ -261,7 +265,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.list_(pa.float64())), "y": batch.column(1)})
 
     seen = sample.mapInArrow(measure, "x array<double>, y int").collect()  # 2 * limits.rows rows at most
-    return Model(found, *regress(np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float)))
+    x = np.array([r["x"] for r in seen])
+    mean, scale, weights, bias = regress(x, np.array([r["y"] for r in seen], float))
+    for exact, fuzzy in ((0, 1), (3, 4)):
+        if not x[:, fuzzy].any():  # no misspelling in the sample tells for or against: it counts as the word itself
+            mean[fuzzy], scale[fuzzy], weights[fuzzy] = 0.0, scale[exact], weights[exact]
+    return Model(found, mean, scale, weights, bias)
 
 
 def judged(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
