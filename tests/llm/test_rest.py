@@ -1,0 +1,164 @@
+"""Decontamination, sharding, secrets, language, nearest neighbours."""
+
+import random
+
+
+import numpy as np
+
+import pytest
+
+from lodestrata.llm import ann, decontamination, language, secret_scan, sharding
+from tests.llm.conftest import CLASHES, EDGE
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i, *row[1:]], row
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+def passage_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        last, row = row, [i]
+        for j, y in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return min(row)
+
+
+def test_decontamination_equals_brute_force(spark, documents):
+    r = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(r.choices(vocabulary, k=r.choice([1, 2, 3, 5, 8, 20, 40])))) for k in range(40)]
+    items += [(40, None), (41, ""), (42, items[7][1])]
+    rows = []
+    for k in range(150):
+        body = r.choices(vocabulary, k=r.randint(5, 80))
+        if k % 3 == 0:
+            own = items[r.randrange(40)][1].split()
+            for _ in range(r.randint(0, len(own) // 4)):
+                own[r.randrange(len(own))] = r.choice(vocabulary)
+            if r.random() < 0.4 and len(own) > 2:
+                del own[r.randrange(len(own))]
+            at = r.randrange(len(body))
+            body[at:at] = [x.upper() + "," for x in own]
+        rows.append((100 + k, " ".join(body)))
+    _, df = documents(rows + EDGE[:-1], CLASHES)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.distance for x in decontamination.contaminated(df.where("doc_id >= 100"), bench).collect()}
+    want = {}
+    for key, text in rows:
+        for item, t in items:
+            own = (t or "").split()
+            if own and (d := passage_distance(own, [x.lower().strip(",") for x in text.split()])) <= decontamination.allowed(len(own)):
+                want[key, item] = d
+    assert got == want
+    left = decontamination.without_leaks(df, bench)
+    assert left.columns == df.columns
+    leaks = {x.doc_id for x in decontamination.contaminated(df, bench).select("doc_id").collect()}
+    assert left.count() == df.count() - len([1 for r in df.collect() if r.doc_id in leaks])
+    assert decontamination.contaminated(df.limit(0), bench).count() == 0 == decontamination.contaminated(df, bench.limit(0)).count()
+
+
+def test_cgk_agrees_more_on_nearer_sequences():
+    rng = np.random.default_rng(3)
+    a = rng.integers(1, 1 << 63, (1, 40), dtype=np.uint64)
+    near, far = a.copy(), rng.integers(1, 1 << 63, (1, 40), dtype=np.uint64)
+    near[0, 20] = 5
+    size = np.array([40])
+    x, y, z = (decontamination.cgk(s, size, 100) for s in (a, near, far))
+    assert (x == y).mean() > (x == z).mean() + 0.3 and (x == x).all()
+
+
+def test_sharding(spark, documents, tmp_path):
+    rows = EDGE + [(100 + k, f"text {k % 7}") for k in range(200)]
+    _, df = documents(rows, CLASHES)
+    got = sharding.shuffle_into_shards(df, f"file://{tmp_path}/out", shards=6, bucket_mb=0.002).select("shard", "slot", "record.doc_id", "record.text").collect()
+    assert sorted((str(x.doc_id), str(x.text)) for x in got) == sorted((str(k), str(t)) for k, t in rows)
+    by = {s: sorted(x.slot for x in got if x.shard == s) for s in range(6)}
+    assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    again = sharding.shuffle_into_shards(df, f"file://{tmp_path}/again", shards=6, bucket_mb=0.002).select("shard", "slot", "record.doc_id", "record.text").collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    order = [x.doc_id for x in sorted(got, key=lambda x: (x.shard, x.slot)) if x.doc_id is not None and x.doc_id >= 100]
+    assert order != sorted(order)
+    assert sharding.shuffle_into_shards(df.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(secret_scan.labelled_findings(spark))
+
+
+def test_secrets_on_held_out_findings(spark, forest):
+    held = secret_scan.labelled_findings(spark, rows=400, seed=99).selectExpr("monotonically_increasing_id() as doc_id", "text", "value", "is_secret")
+    hits = {(x.doc_id): x for x in secret_scan.find_secrets(held, forest).collect()}
+    rows = held.collect()
+    assert sum((x.doc_id in hits) == bool(x.is_secret) for x in rows) >= 0.93 * len(rows)
+
+
+def test_secret_rows(documents, forest):
+    key = "AKIA" + "Q7ZP2LMN4RST6UVW"
+    rows = EDGE[:-1] + [(20, f'é token = "{"9b0b3c6a43eb78aa" * 2}cafe0123" end'), (21, f"{key} and card 4845168114407329, commit {'ab12' * 10}"), (22, f"😀 password=e3b3ed3cc8548923d6 x {key}")]
+    _, df = documents(rows, CLASHES)
+    text = dict(rows)
+    got = secret_scan.find_secrets(df, forest).collect()
+    assert sorted((x.doc_id, text[x.doc_id][x.start : x.end]) for x in got) == sorted([(20, "9b0b3c6a43eb78aa" * 2 + "cafe0123"), (21, key), (22, "e3b3ed3cc8548923d6"), (22, key)])
+    clean = secret_scan.redacted(df, forest)
+    assert clean.columns == df.columns
+    out = {r.doc_id: r.text for r in clean.where("doc_id >= 20").collect()}
+    assert out[22] == "😀 password=[SECRET] x [SECRET]" and out[21].startswith("[SECRET] and card 4845168114407329")
+    assert sorted(str(r.text) for r in clean.where("doc_id < 20 or doc_id is null").collect()) == sorted(str(t) for _, t in EDGE[:-1])
+    assert secret_scan.find_secrets(df.limit(0), forest).count() == 0
+
+
+def test_language(spark, documents):
+    r = random.Random(5)
+    parts = {"en": ["the", "ing", "tion", "and", "ble"], "fr": ["eau", "que", "elle", "ré", "oui"], "de": ["schen", "ung", "keit", "der", "ß"]}
+    say = lambda x, n: " ".join("".join(r.choices(parts[x], k=2)) for _ in range(n))
+    _, docs = documents([(k, say(x, 40), x) for k, x in enumerate(list(parts) * 30)] + [(900, None, "en"), (901, "text", None)])
+    model = language.fit(docs, sample=30)
+    pages = []
+    for k in range(120):
+        x = list(parts)[k % 3]
+        claim = x if k % 5 else "en"  # a fifth of the declarations are wrong
+        pages.append((k, f"http://h{k % 3}.example.com/{k}", f"<html lang='{claim}'><script>var the='the and the'</script><body><p>{say(x, 12)}</p>"))
+    pages += [(200, None, None), (201, "http://h1.example.com/x", ""), (202, "not a url", "<script unclosed " + "<" * 1000), (0, pages[0][1], pages[0][2])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as lang", "3 as p0")
+    got = language.identify(df, model).collect()
+    assert len(got) == len(pages)
+    by = {x.page_id: x for x in got}
+    assert sum(by[k].lang == list(parts)[k % 3] for k in range(120)) >= 118
+    assert by[201].lang == "fr" and by[201].text_lang is None  # its host's other pages
+    assert by[200].text_lang is None and 0 < by[200].probability <= 1
+    assert language.identify(df.limit(0), model).count() == 0
+    assert {x.lang for x in language.identify(df, language.fit(docs.limit(0))).collect()} == {None}
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))).astype(np.float32)
+    x[700:900] = x[40]  # a group of copies
+    rows = [(k, [float(v) for v in x[k]]) for k in range(len(x))]
+    odd = [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0]), (5080, [float("inf")] + [0.0] * 15), (None, rows[3][1]), (5100, [None] + [1.0] * 15)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").selectExpr("*", "1 as rep", "2 as shard")
+    got = {}
+    for q in ann.search(df, shard_rows=400).orderBy("query_id", "rank").collect():
+        got.setdefault(q.query_id, []).append((q.vec_id, q.score))
+    assert set(got) == set(range(0, 1500, 20))
+    hits = 0
+    for q, found in got.items():
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        order = np.lexsort((np.arange(len(x)), -s))[:20]
+        hits += len(set(order.tolist()) & {v for v, _ in found})
+        assert len(found) == 20 and found == sorted(found, key=lambda z: (-z[1], z[0]))
+        assert all(abs(score - s[v]) < 1e-9 for v, score in found)
+    assert hits >= 0.9 * 20 * len(got)
+    few = ann.search(df.where("vec_id < 3 or vec_id = 20")).collect()
+    assert sorted((r.query_id, r.rank) for r in few) == [(q, k) for q in (0, 20) for k in (1, 2, 3)]
+    assert ann.search(df.limit(0)).count() == 0
+
+
