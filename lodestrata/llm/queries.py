@@ -11,7 +11,8 @@ from lodestrata.llm import store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return store.spread(found) if name in ("documents", "pages", "embeddings") else found
 
 
 def _word_bpe() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -33,6 +34,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """While it lasts, what is executed hands at most `rows` rows at a time to Python: for rows of wide values."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -46,6 +59,12 @@ def input_bytes(df: DataFrame) -> int:
     return min(size, 1 << 60)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer parts than there are cores (one small file, one row group) dealt to all of them; others as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def parts(df: DataFrame, mb: float, least: int = 1) -> int:
     """Partitions of about `mb` MB of stored input each."""
     return max(least, -(-input_bytes(df) // int(mb * 1e6)))
