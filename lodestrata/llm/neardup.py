@@ -10,7 +10,10 @@ and what may reach the threshold is verified on the full sets.
 
 What the first hub leaves apart in a bucket goes on: only pairs of different
 components are looked at, with 8, then 64 hubs a bucket, then every member, so
-no link between members of a bucket is lost and no cap is set. With BANDS bands
+no link between members of a bucket is lost and no cap is set. In large buckets
+most of those pairs are ruled out before they are made: two members share at
+most what each shares with the hub, and of the rest only what some third member
+has as well, and that often bounds their similarity below the threshold. With BANDS bands
 of ROWS registers a pair of similarity 0.8 misses every bucket with probability
 below 1e-5; an estimate falls short of a true 0.8 by the margin with less than
 that.
@@ -40,7 +43,11 @@ BASE, RATE = 1.2, 20.0
 MARGIN = 0.17
 #: Ids that are broadcast to pick rows from the documents (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Pairs of full sets that Python gets at a time.
+PAIRS = 256
+#: Buckets of more members are held against the bound by their hub before pairs are made.
+LARGE = 32
 
 _rng = np.random.default_rng(93)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -137,8 +144,8 @@ def _pick(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, key)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+def _members_of(docs: DataFrame, pairs: DataFrame, size: int, text: str, key: str) -> DataFrame:
+    """(id, members): the full sets, as sorted hashes, of every document in `pairs` (a, b)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
 
     def collect(batches):
@@ -148,8 +155,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(members, pa.binary())], names=["id", "members"])
 
     own = docs.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull())
-    sets = store.kept(_pick(own, ids, key).select(key, text).mapInArrow(collect, "id long, members binary").dropDuplicates(["id"]), "full-sets")
+    return store.kept(_pick(own, ids, key).select(key, text).mapInArrow(collect, "id long, members binary").dropDuplicates(["id"]), "full-sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"set_{x}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+    sets = _members_of(docs, pairs, size, text, key)
 
     def compare(batches):
         for batch in batches:
@@ -163,8 +179,32 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    return _with_sets(pairs, sets).mapInArrow(compare, "a long, b long")
+
+
+def _bounds(docs: DataFrame, pairs: DataFrame, size: int, text: str, key: str) -> DataFrame:
+    """(rep, hub, own, shared) of pairs (a member, b hub): how many shingles a member has in common with the hub, and how many of its others some other member of that hub has."""
+    sets = _members_of(docs, pairs, size, text, key)
+
+    def split(batches):
+        for batch in batches:
+            own, rest = [], []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                there = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                own.append(int(there.sum()))
+                rest.append(x[~there].view(np.int64))
+            at = np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32)
+            flat = pa.array(np.concatenate(rest) if rest else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)], names=["rep", "hub", "own", "rest"])
+
+    found = _with_sets(pairs, sets).mapInArrow(split, "rep long, hub long, own long, rest array<long>")
+    with store.small_batches(docs.sparkSession, PAIRS):
+        found = store.kept(found, "hub-remainders")
+    single = found.select("rep", "hub", F.explode("rest").alias("shingle"))
+    twice = single.groupBy("hub", "shingle").agg(F.count("*").alias("k")).where(F.col("k") > 1)
+    shared = single.join(twice, ["hub", "shingle"]).groupBy("rep", "hub").agg(F.count("*").alias("shared"))
+    return store.kept(found.select("rep", "hub", "own").join(shared, ["rep", "hub"], "left").fillna(0, ["shared"]), "bounds")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -177,16 +217,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     keys = [F.xxhash64(F.lit(k), F.expr(f"substring(regs, {k * ROWS + 1}, {ROWS})")) for k in range(BANDS)]
     bands = reps.where(F.col("rep").isNotNull()).select("rep", "n", F.explode(F.array(*keys)).alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where(F.col("m") > 1)
+    buckets = bands.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("_hub"), F.count("*").alias("m")).where(F.col("m") > 1)
+    buckets = buckets.select("band", "m", F.col("_hub.rep").alias("hub"), F.col("_hub.n").alias("hub_n"))
     members = store.kept(bands.join(buckets.hint("shuffle_hash"), "band"), "buckets")
+    alike = lambda n, m: F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
 
     spark = docs.sparkSession
     none = spark.createDataFrame([], "a long, b long")
-    links, tested, label = none, none, None
+    links, tested, label, bound = none, none, None, None
     # first the hub of each bucket, one pair a member; then the other hubs, then more of them
     for hubs in (0, 1, 8, 64, None):
         if hubs == 0:
-            pairs = members.where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+            pairs = members.where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
             first = store.kept(_plausible(pairs, reps, threshold), "plausible")
             pairs = first.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
         elif hubs == 1:
@@ -194,14 +236,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         else:
             state = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
             torn = state.groupBy("band").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).where(F.col("_x") != F.col("_y")).select("band")
-            state = store.kept(state.join(torn.hint("shuffle_hash"), "band").select("band", "rep", "n", "c", "m"), "torn-buckets")
+            state = state.join(torn.hint("shuffle_hash"), "band").select("band", "rep", "n", "c", "m", "hub")
+            if bound is None:
+                large = state.where(F.col("m") > LARGE).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+                bound = _bounds(docs, store.kept(large, "large-buckets"), size, text, key)
+            state = state.join(bound, ["rep", "hub"], "left")
+            state = store.kept(state.select("band", "rep", "n", "c", "m", *[F.when(F.col("m") > LARGE, F.col(x)).alias(x) for x in ("own", "shared")]), "torn-buckets")
             if not state.limit(1).count():
                 break
             place = F.pmod(F.xxhash64("band", "rep"), F.lit(1 << 30)) / float(1 << 30)
             chosen = state if hubs is None else state.where(place * F.col("m") < hubs)
-            hub = chosen.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-            near = F.least("n", "n_b") >= threshold * F.greatest("n", "n_b") - 1e-9
-            pairs = state.join(hub, "band").where((F.col("c") != F.col("c_b")) & near)
+            hub = chosen.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("own").alias("own_b"), F.col("shared").alias("shared_b"))
+            # no pair shares more than both share with the bucket's hub and what of the rest stands elsewhere too
+            most = F.least("own", "own_b") + F.least("shared", "shared_b")
+            reach = most.isNull() | (most * (1 + threshold) >= threshold * (F.col("n") + F.col("n_b")) - 1e-9)
+            pairs = state.join(hub, "band").where((F.col("c") != F.col("c_b")) & alike(F.col("n"), F.col("n_b")) & reach)
             pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = _plausible(pairs, reps, threshold).select("a", "b")
@@ -215,7 +264,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
                 break
             if label is not None:
                 continue
-        found = store.kept(_verified(docs, pairs, size, percent, text, key), "links")
+        found = _verified(docs, pairs, size, percent, text, key)
+        with store.small_batches(spark, PAIRS):
+            found = store.kept(found, "links")
         tested = tested.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         links = links.unionByName(found)
         label = connected_components(links)
