@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from lodestrata.llm import pretoken
 
 #: Words and fragments that a worker remembers; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 150_000
 
 
 class ForcedBoundaryBPE:

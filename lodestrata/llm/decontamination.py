@@ -35,7 +35,7 @@ from lodestrata.llm import store, words
 SIMILARITY = 0.8
 REPEATS, SAMPLED = 96, 2
 BLOCK_ITEMS = 20_000
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _SEEDS = np.random.default_rng(71).integers(0, 1 << 63, REPEATS, dtype=np.uint64)
 _STEP = 0xD1342543DE82EF95

@@ -68,7 +68,7 @@ def address(url: str) -> tuple[str, str, str, str]:
 def trigrams(column: pa.Array):
     """(first row, end row, trigram buckets, first of each row + total), by chunks of a text column."""
     data, offsets = store.utf8(column)
-    for a, b in store.chunks(offsets, 4 << 20):
+    for a, b in store.chunks(offsets, 1 << 20):
         own = offsets[a : b + 1] - offsets[a]
         x = _letters[data[offsets[a] : offsets[b]]].astype(np.uint32)
         row_end = np.repeat(own[1:], np.diff(own))

@@ -146,7 +146,7 @@ class Automaton:
         """(weight of an exact hit, weight of a misspelled one), 0 for none."""
         found = self.memo.get(word)
         if found is None:
-            if len(self.steps) > 100_000 or len(self.memo) > 300_000:
+            if len(self.steps) > 40_000 or len(self.memo) > 150_000:
                 self.states.clear()
                 self._reset()
             state, steps = self.start, self.steps
