@@ -11,12 +11,9 @@ and what may reach the threshold is verified on the full sets.
 What the first hub leaves apart in a bucket goes on: only pairs of different
 components are looked at, with 8, then 64 hubs a bucket, then every member, so
 no link between members of a bucket is lost and no cap is set. In large buckets
-most of those pairs are ruled out before they are made: two members share at
-most what each shares with the hub, and of the rest only what some third member
-has as well, and that often bounds their similarity below the threshold. With BANDS bands
-of ROWS registers a pair of similarity 0.8 misses every bucket with probability
-below 1e-5; an estimate falls short of a true 0.8 by the margin with less than
-that.
+most of those pairs are ruled out before they are made: two members share what
+both keep of the hub's set and the differences from it that they have in common,
+and bitmaps of the differences bound the latter.
 
 Defined results: null and empty texts, and texts without words, have empty sets
 and link with nothing. Rows that repeat, and rows with equal keys, each get a
@@ -31,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import store, words
@@ -44,6 +41,8 @@ MARGIN = 0.17
 #: Ids that are broadcast to pick rows from the documents (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 CHUNK = 1 << 20
+#: Columns of a member's differences from its hub: a bitmap of 64 bits each.
+BITS = [f"d{k}" for k in range(8)]
 #: Pairs of full sets that Python gets at a time.
 PAIRS = 256
 #: Buckets of more members are held against the bound by their hub before pairs are made.
@@ -182,29 +181,39 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text:
     return _with_sets(pairs, sets).mapInArrow(compare, "a long, b long")
 
 
-def _bounds(docs: DataFrame, pairs: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """(rep, hub, own, shared) of pairs (a member, b hub): how many shingles a member has in common with the hub, and how many of its others some other member of that hub has."""
+def _differences(docs: DataFrame, pairs: DataFrame, size: int, text: str, key: str) -> DataFrame:
+    """(rep, hub, lacks, has, d0..) of pairs (a member, b hub): how many of the hub's shingles a member lacks, how many others it has, and a bitmap of both."""
     sets = _members_of(docs, pairs, size, text, key)
+    names = ["rep", "hub", "lacks", "has", *BITS]
 
     def split(batches):
         for batch in batches:
-            own, rest = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            counts, maps = [], np.zeros((batch.num_rows, 64 * len(BITS)), bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                there = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                own.append(int(there.sum()))
-                rest.append(x[~there].view(np.int64))
-            at = np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32)
-            flat = pa.array(np.concatenate(rest) if rest else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(at), flat)], names=["rep", "hub", "own", "rest"])
-
-    found = _with_sets(pairs, sets).mapInArrow(split, "rep long, hub long, own long, rest array<long>")
+                odd = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(odd)) // 2
+                counts.append((len(y) - both, len(x) - both))
+                maps[k, (odd % np.uint64(maps.shape[1])).astype(np.int64)] = True
+            words_ = np.packbits(maps, axis=1).view(">i8").astype(np.int64)
+            columns = [batch.column(0), batch.column(1), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)), *(pa.array(words_[:, k]) for k in range(len(BITS)))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    found = _with_sets(pairs, sets).mapInArrow(split, ", ".join(f"{c} long" for c in names))
     with store.small_batches(docs.sparkSession, PAIRS):
-        found = store.kept(found, "hub-remainders")
-    single = found.select("rep", "hub", F.explode("rest").alias("shingle"))
-    twice = single.groupBy("hub", "shingle").agg(F.count("*").alias("k")).where(F.col("k") > 1)
-    shared = single.join(twice, ["hub", "shingle"]).groupBy("rep", "hub").agg(F.count("*").alias("shared"))
-    return store.kept(found.select("rep", "hub", "own").join(shared, ["rep", "hub"], "left").fillna(0, ["shared"]), "bounds")
+        return store.kept(found, "differences")
+
+
+def _most_shared(n: str, x: str, y: str) -> Column:
+    """No pair of members of one hub shares more: what both keep of the hub, and the differences that their bitmaps let them have in common.
+
+    A bit that one has and the other lacks stands for at least one difference of
+    the one that the other doesn't have.
+    """
+    apart = lambda a, b: sum((F.bit_count(F.col(f"{c}{a}").bitwiseAND(F.bitwise_not(F.col(f"{c}{b}")))) for c in BITS[1:]), F.bit_count(F.col(f"{BITS[0]}{a}").bitwiseAND(F.bitwise_not(F.col(f"{BITS[0]}{b}")))))
+    total = lambda a: F.col(f"lacks{a}") + F.col(f"has{a}")
+    hub = F.col(n) + F.col(f"lacks{x}") - F.col(f"has{x}")
+    return hub - F.col(f"lacks{x}") - F.col(f"lacks{y}") + F.least(total(x) - apart(x, y), total(y) - apart(y, x))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -239,16 +248,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
             state = state.join(torn.hint("shuffle_hash"), "band").select("band", "rep", "n", "c", "m", "hub")
             if bound is None:
                 large = state.where(F.col("m") > LARGE).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-                bound = _bounds(docs, store.kept(large, "large-buckets"), size, text, key)
+                bound = _differences(docs, store.kept(large, "large-buckets"), size, text, key)
             state = state.join(bound, ["rep", "hub"], "left")
-            state = store.kept(state.select("band", "rep", "n", "c", "m", *[F.when(F.col("m") > LARGE, F.col(x)).alias(x) for x in ("own", "shared")]), "torn-buckets")
+            state = store.kept(state.select("band", "rep", "n", "c", "m", *[F.when(F.col("m") > LARGE, F.col(x)).alias(x) for x in ("lacks", "has", *BITS)]), "torn-buckets")
             if not state.limit(1).count():
                 break
             place = F.pmod(F.xxhash64("band", "rep"), F.lit(1 << 30)) / float(1 << 30)
             chosen = state if hubs is None else state.where(place * F.col("m") < hubs)
-            hub = chosen.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("own").alias("own_b"), F.col("shared").alias("shared_b"))
-            # no pair shares more than both share with the bucket's hub and what of the rest stands elsewhere too
-            most = F.least("own", "own_b") + F.least("shared", "shared_b")
+            hub = chosen.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), *[F.col(x).alias(f"{x}_b") for x in ("lacks", "has", *BITS)])
+            most = _most_shared("n", "", "_b")
             reach = most.isNull() | (most * (1 + threshold) >= threshold * (F.col("n") + F.col("n_b")) - 1e-9)
             pairs = state.join(hub, "band").where((F.col("c") != F.col("c_b")) & alike(F.col("n"), F.col("n_b")) & reach)
             pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
