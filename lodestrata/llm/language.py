@@ -39,7 +39,9 @@ PRIOR = 4.0
 _BUCKETS = 1 << 16
 
 _HIDDEN = re.compile(r"<script.*?(?:</script>|\Z)|<style.*?(?:</style>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
-_DECLARED = re.compile(r"""<html\b[^>]{0,400}?\blang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
+# The attributes of each <html ...> outside scripts, styles and comments. Nothing follows them, so a page is gone through once.
+_ROOT = re.compile(r"""<script.*?(?:</script>|\Z)|<style.*?(?:</style>|\Z)|<!--.*?(?:-->|\Z)|<html\b((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)""", re.S | re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
 _ADDRESS = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", re.I)
 
 _letters = np.full(256, 32, np.uint8)
@@ -53,6 +55,14 @@ def visible(page: str) -> str:
     return html.unescape(_HIDDEN.sub(" ", page))
 
 
+def declaration(page: str) -> str:
+    """The language code that the markup of the whole page declares, or ''."""
+    for root in _ROOT.finditer(page):
+        if root[1] and (m := _LANG.search(root[1])):
+            return m[1][:2].lower()
+    return ""
+
+
 def address(url: str) -> tuple[str, str, str, str]:
     """(host, registered domain, suffix, language code of the address or '')."""
     m = _ADDRESS.match(url)
@@ -153,7 +163,7 @@ def identify(pages: DataFrame, model: TextModel, page: str = "html", url: str =
                 part = batch.slice(k, 1000)
                 raw = [x or "" for x in part.column(2).to_pylist()]
                 places = [address(x or "") for x in part.column(1).to_pylist()]
-                declared = [(m[1][:2].lower() if (m := _DECLARED.search(x[:20_000])) else "") for x in raw]
+                declared = [declaration(x) for x in raw]
                 score = model.likelihoods(pa.array([visible(x) for x in raw], pa.string()))
                 columns = [part.column(0), *(pa.array([p[j] for p in places], pa.string()) for j in range(3))]
                 columns += [pa.array([x if x in known or not x else "other" for x in c], pa.string()) for c in (declared, [p[3] for p in places])]

@@ -137,6 +137,24 @@ def test_language(spark, documents):
     assert {x.lang for x in language.identify(df, language.fit(docs.limit(0))).collect()} == {None}
 
 
+def test_declaration_anywhere_in_the_page(spark, documents):
+    many = " ".join(f'data-a{k}="x>y"' for k in range(200))
+    pages = {
+        "<!-- " + "banner <html lang='fr'> " * 2000 + "--><html lang='de'>": "de",
+        " \n" * 20_000 + "<HTML LANG=de-AT>": "de",
+        f"<html {many} lang=\"de\"><body>": "de",
+        "<script>x = '<html lang=fr>'</script><p>text": "",
+        "<html class=a><p lang='fr'>": "",
+        "<html lang='de": "de",
+        "<html '" * 20_000 + "=  '" * 20_000: "",
+    }
+    assert [language.declaration(x) for x in pages] == list(pages.values())
+    _, docs = documents([(k, x, y) for k, (x, y) in enumerate([("the thing and the king", "en"), ("schen ung keit der", "de")])])
+    df = spark.createDataFrame([(k, "", x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.declared for r in language.identify(df, language.fit(docs)).collect()}
+    assert [got[k] for k in range(len(pages))] == list(pages.values())
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = (rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))).astype(np.float32)
