@@ -17,9 +17,10 @@ and bitmaps of the differences bound the latter.
 
 Defined results: null and empty texts, and texts without words, have empty sets
 and link with nothing. Rows that repeat, and rows with equal keys, each get a
-row. A row without key is linked like others, but names no component: a
-component of such rows alone has a null id, and they are kept. Further columns
-are ignored.
+row. Links are found between classes of equal sets, whatever the keys of their
+rows, so texts of one key are linked each by itself. A row without key is linked
+like others, but names no component: a component of such rows alone has a null
+id, and they are kept. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ BANDS, ROWS = 30, 5
 BASE, RATE = 1.2, 20.0
 #: How far an estimate may fall short of the threshold.
 MARGIN = 0.17
-#: Ids that are broadcast to pick rows from the documents (8 bytes each); more are joined by a shuffle.
+#: Ids that are broadcast to pick rows from the documents (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 CHUNK = 1 << 20
 #: Columns of a member's differences from its hub: a bitmap of 64 bits each.
@@ -99,12 +100,17 @@ def _sets(column: pa.Array, size: int):
         yield a, b, *words.sets(*words.shingles(h, first, size))
 
 
+def _row_hash(text: str, key: str) -> Column:
+    """Finds a row again by its key and text: unlike the key alone, neither null nor shared by different texts."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+
+
 def sketch(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, regs): set size, two sums that tell sets apart, and registers (null for empty sets)."""
+    """(doc_id, at, n_shingles, s1, s2, regs): the row's hash, set size, two sums that tell sets apart, and registers (null for empty sets)."""
 
     def run(batches):
         for batch in batches:
-            for a, b, values, first in _sets(batch.column(1), size):
+            for a, b, values, first in _sets(batch.column(2), size):
                 n = np.diff(first)
                 full = np.flatnonzero(n)
                 at = first[:-1][full]
@@ -115,10 +121,10 @@ def sketch(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id")
                     sums[1, full] = np.add.reduceat(words.mix(values ^ np.uint64(0x5851F42D4C957F2D)), at)
                     for k, r in zip(full.tolist(), registers(values, at)):
                         regs[k] = r.tobytes()
-                columns = [batch.column(0).slice(a, b - a), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), pa.array(regs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "s1", "s2", "regs"])
+                columns = [*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), pa.array(regs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "n_shingles", "s1", "s2", "regs"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, regs binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), _row_hash(text, key).alias("at"), text).mapInArrow(run, "doc_id long, at long, n_shingles long, s1 long, s2 long, regs binary")
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -137,15 +143,11 @@ def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return estimated.where(F.col("est") >= threshold - MARGIN)
 
 
-def _pick(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of `docs` whose key is in `ids` (distinct `key`): one for a key."""
+def _members_of(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, text: str, key: str) -> DataFrame:
+    """(id, members): the full sets, as sorted hashes, of every class in `pairs` (a, b)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "at"), "rep")
+    ids = store.kept(ids.select("at", F.col("rep").alias("id")), "wanted")
     small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, key)
-
-
-def _members_of(docs: DataFrame, pairs: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """(id, members): the full sets, as sorted hashes, of every document in `pairs` (a, b)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
 
     def collect(batches):
         for batch in batches:
@@ -153,8 +155,8 @@ def _members_of(docs: DataFrame, pairs: DataFrame, size: int, text: str, key: st
                 members = [values[first[k] : first[k + 1]].tobytes() for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(members, pa.binary())], names=["id", "members"])
 
-    own = docs.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull())
-    return store.kept(_pick(own, ids, key).select(key, text).mapInArrow(collect, "id long, members binary").dropDuplicates(["id"]), "full-sets")
+    own = docs.select(_row_hash(text, key).alias("at"), F.col(text).alias("_text")).join(F.broadcast(ids) if small else ids, "at")
+    return store.kept(own.select("id", "_text").mapInArrow(collect, "id long, members binary").dropDuplicates(["id"]), "full-sets")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,9 +164,9 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
-    sets = _members_of(docs, pairs, size, text, key)
+    sets = _members_of(docs, pairs, reps, size, text, key)
 
     def compare(batches):
         for batch in batches:
@@ -181,9 +183,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text:
     return _with_sets(pairs, sets).mapInArrow(compare, "a long, b long")
 
 
-def _differences(docs: DataFrame, pairs: DataFrame, size: int, text: str, key: str) -> DataFrame:
+def _differences(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, text: str, key: str) -> DataFrame:
     """(rep, hub, lacks, has, d0..) of pairs (a member, b hub): how many of the hub's shingles a member lacks, how many others it has, and a bitmap of both."""
-    sets = _members_of(docs, pairs, size, text, key)
+    sets = _members_of(docs, pairs, reps, size, text, key)
     names = ["rep", "hub", "lacks", "has", *BITS]
 
     def split(batches):
@@ -216,16 +218,16 @@ def _most_shared(n: str, x: str, y: str) -> Column:
     return hub - F.col(f"lacks{x}") - F.col(f"lacks{y}") + F.least(total(x) - apart(x, y), total(y) - apart(y, x))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def _judged(docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
+    """(doc_id, at, n_shingles, component_id, kept) of every row."""
     threshold = percent / 100
     sketches = store.kept(sketch(docs, size, text, key), "sketches")
     full = sketches.where(F.col("n_shingles") > 0)
-    reps = full.groupBy("s1", "s2", F.col("n_shingles").alias("n"), "regs").agg(F.min("doc_id").alias("rep"))
-    reps = store.kept(reps, "set-classes")
+    reps = full.groupBy("s1", "s2", F.col("n_shingles").alias("n"), "regs").agg(F.min("doc_id").alias("least"), F.min("at").alias("at"))
+    reps = store.kept(reps.withColumn("rep", F.xxhash64("s1", "s2", "n")), "set-classes")
 
     keys = [F.xxhash64(F.lit(k), F.expr(f"substring(regs, {k * ROWS + 1}, {ROWS})")) for k in range(BANDS)]
-    bands = reps.where(F.col("rep").isNotNull()).select("rep", "n", F.explode(F.array(*keys)).alias("band"))
+    bands = reps.select("rep", "n", F.explode(F.array(*keys)).alias("band"))
     buckets = bands.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("_hub"), F.count("*").alias("m")).where(F.col("m") > 1)
     buckets = buckets.select("band", "m", F.col("_hub.rep").alias("hub"), F.col("_hub.n").alias("hub_n"))
     members = store.kept(bands.join(buckets.hint("shuffle_hash"), "band"), "buckets")
@@ -248,7 +250,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
             state = state.join(torn.hint("shuffle_hash"), "band").select("band", "rep", "n", "c", "m", "hub")
             if bound is None:
                 large = state.where(F.col("m") > LARGE).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-                bound = _differences(docs, store.kept(large, "large-buckets"), size, text, key)
+                bound = _differences(docs, store.kept(large, "large-buckets"), reps, size, text, key)
             state = state.join(bound, ["rep", "hub"], "left")
             state = store.kept(state.select("band", "rep", "n", "c", "m", *[F.when(F.col("m") > LARGE, F.col(x)).alias(x) for x in ("lacks", "has", *BITS)]), "torn-buckets")
             if not state.limit(1).count():
@@ -272,23 +274,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
                 break
             if label is not None:
                 continue
-        found = _verified(docs, pairs, size, percent, text, key)
+        found = _verified(docs, pairs, reps, size, percent, text, key)
         with store.small_batches(spark, PAIRS):
             found = store.kept(found, "links")
         tested = tested.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         links = links.unionByName(found)
         label = connected_components(links)
 
-    known = reps.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = known.select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("_c"), F.lit(True).alias("_known"))
-    joined = sketches.select("doc_id", "n_shingles", "s1", "s2").join(known, ["s1", "s2", "n_shingles"], "left")
+    known = store.kept(reps.select("s1", "s2", "n", "rep", "least").join(label.withColumnRenamed("node", "rep"), "rep", "left"), "classes")
+    # a class without links is named by its own smallest key
+    names = known.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("_name"))
+    known = known.join(names, "component", "left")
+    name = F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("_name"))
+    known = known.select("s1", "s2", F.col("n").alias("n_shingles"), name.alias("_c"), F.lit(True).alias("_known"))
+    joined = sketches.select("doc_id", "at", "n_shingles", "s1", "s2").join(known, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("_known"), F.col("_c")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return joined.select("doc_id", "at", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    return _judged(docs, size, percent, text, key).drop("at")
 
 
 def without_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each component, that of the smallest key, with all its columns. Rows of equal key are one document."""
-    found = near_duplicates(docs, size, percent, text, key)
-    gone = store.kept(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    """The rows that are kept, with all their columns: of each component those of the smallest key."""
+    found = _judged(docs, size, percent, text, key)
+    gone = store.kept(found.where(~F.col("kept")).select(F.col("at").alias("_gone")).distinct(), "duplicates")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, _row_hash(text, key) == F.col("_gone"), "left_anti")

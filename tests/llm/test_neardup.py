@@ -82,6 +82,20 @@ def test_large_torn_buckets_lose_nothing(documents, monkeypatch):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 2, 80)
 
 
+def test_rows_without_key_and_of_one_key_are_linked(documents):
+    rows = corpus(11, 150)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else key, t) for k, (key, t) in enumerate(rows)]
+    base = " ".join(f"b{k}" for k in range(80))
+    rows += [(2001, base), (None, base + " more"), (None, base), (3001, base.replace("b", "c")), (3002, base.replace("b", "d")), (3002, base.replace("b", "c") + " more")]
+    _, df = documents(rows, CLASHES)
+    got = neardup.near_duplicates(df, 2).collect()
+    want = brute(rows, 2, 80)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    left = [(r.doc_id, r.text) for r in neardup.without_duplicates(df, 2).collect()]
+    assert len(left) == sum(c in ("None", k) for k, _, c in want)
+    assert (None, base) not in left and (None, base + " more") not in left and (3002, base.replace("b", "d")) in left
+
+
 def test_empty_table_and_stage(documents):
     rows = corpus(3, 40)
     _, df = documents(rows, CLASHES)
