@@ -56,6 +56,40 @@ def test_prefix_reuse():
     assert again[:at] == tokens[:at] and lzss.decode(again, len(new), 12)[: len(new)] == new
 
 
+def longest_matches(data, offbits):
+    n, most = len(data), (1 << (16 - offbits)) + 2
+    out = []
+    for at in range(n):
+        best = 0
+        for back in range(1, min(at, (1 << offbits) - 1) + 1):
+            k = 0
+            while k < most and at + k < n and data[at + k] == data[at - back + k]:
+                k += 1
+            best = max(best, k)
+        out.append(best if best >= 3 else 0)
+    return out
+
+
+@pytest.mark.parametrize("offbits", [6, 9, 12])
+def test_no_match_in_the_window_is_missed(offbits):
+    r = np.random.default_rng(offbits)
+    data = b"".join(b"abc" + r.integers(97, 100, 3, dtype=np.uint8).tobytes() + r.integers(0, 256, 2, dtype=np.uint8).tobytes() for _ in range(200)) + b"z" * 90
+    best, where = lzss.matches(data, offbits)
+    assert best.tolist() == longest_matches(data, offbits)
+    assert all(data[k : k + 1] == data[k - b : k - b + 1] and b < 1 << offbits for k, b in enumerate(where.tolist()) if b)
+
+
+def test_reuse_is_parsed_at_least_cost():
+    r = np.random.default_rng(3)
+    words = [r.integers(97, 123, k % 7 + 2, dtype=np.uint8).tobytes() for k in range(60)]
+    old = b" ".join(words[k] for k in r.integers(0, 60, 1500))
+    new = old[:40] + b"#" + old[41:]
+    tokens = lzss.encode_optimal(old)
+    again = lzss.encode_verified(new, 12, (tokens, old))
+    assert lzss.decode(again, len(new), 12)[: len(new)] == new
+    assert len(again) <= len(lzss.encode_optimal(new)) + 16 and len(again) < len(lzss.encode_lazy(new))
+
+
 def test_block_scans_differ():
     a, b = lzss.block(b"hello hello hello"), lzss.block(b"x" * 50, 5 + 1)
     odd = struct.pack(">5I", lzss.BLOCK_MAGIC, 4, 30, 0, 40) + b"junk"
