@@ -142,12 +142,45 @@ MAGICS = (
 )
 
 
+# The wide signatures in the order of precedence, as (prefixes, label); "=" stands before a whole head.
+SIGNATURES = (
+    (("AA00B3BF",), "AA00B3BF-arc"),
+    (("58455832",), "XEX2-executable"),
+    (("50495253", "4C495645", "434F4E20"), "STFS-package"),
+    (("44445320",), "DDS-texture"),
+    (("52494646",), "RIFF"),
+    (("58574200", "5742"), "XWB-wavebank"),
+    (("584D41",), "XMA-audio"),
+    (("4F676753",), "OGG-audio"),
+    (("42494B69", "=42494B"), "BINK-video"),
+    (("89504E47",), "PNG"),
+    (("424D",), "BMP?"),
+    (("62686400", "626E6B00"), "bank"),
+    (("504B",), "ZIP"),
+    (("1F8B",), "GZIP"),
+    (("789C", "7801", "78DA"), "ZLIB"),
+    (("46534234", "46534235"), "FMOD-FSB"),
+    (("0000000C6A502020",), "JP2"),
+    (("52534600",), "RSF"),
+    (("4E555031", "4E555333"), "NUS3"),
+)
+
+
 def classify(head: Column) -> Column:
-    """The label of a record by its first four bytes; a printable tag otherwise; an empty head is the empty tag."""
-    digits = F.hex(F.substring(head, 1, 4))
+    """The label of a record by its first twelve bytes: the magics, the wide signatures, else a printable tag of four bytes; an empty head is the empty tag.
+
+    RIFF names its form, the bytes from 8 on; a head that ends with the four letters has none and is a tag.
+    """
+    digits = F.hex(F.substring(head, 1, 12))
     out = F.when(F.octet_length(head) == 0, F.lit("tag:"))
     for magic, label in MAGICS:
-        out = out.when(digits == magic, F.lit(label))
+        out = out.when(F.startswith(digits, F.lit(magic)), F.lit(label))
+    for heads, label in SIGNATURES:
+        for h in heads:
+            if label == "RIFF":
+                out = out.when(F.startswith(digits, F.lit(h)) & (F.octet_length(head) > 4), F.concat(F.lit("RIFF("), latin1(F.substring(head, 9, 4)), F.lit(")")))
+            else:
+                out = out.when(digits == h[1:] if h.startswith("=") else F.startswith(digits, F.lit(h)), F.lit(label))
     tag = latin1(F.substring(head, 1, 4))
     return out.when(tag.rlike(r"\A[\x20-\x7e]+\z"), F.concat(F.lit("tag:"), tag)).otherwise(F.lit("UNKNOWN"))
 

@@ -21,8 +21,8 @@ _LABEL = """CASE WHEN octet_length(encode({c})) = 0 THEN 'tag:' WHEN {h} = 'FF3B
       UNION ALL SELECT page_id, {_LABEL.replace('text', 'html')} FROM pages WHERE html IS NOT NULL) GROUP BY label"""
 )
 def magic_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(F.left("text", F.lit(4)), "UTF-8").alias("head"))
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.encode(F.left("html", F.lit(4)), "UTF-8").alias("head"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(F.left("text", F.lit(12)), "UTF-8").alias("head"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.encode(F.left("html", F.lit(12)), "UTF-8").alias("head"))
     heads = docs.unionByName(pages).where(F.col("head").isNotNull())
     return census.histogram(heads, fields.classify(F.col("head")), "id")
 

@@ -213,6 +213,18 @@ def test_fields(spark):
     assert spark.createDataFrame([("07_a",), ("x_1",)], "s string").select(fields.leading_index(F.col("s"))).collect()[0][0] == 7
 
 
+def test_wide_signatures(spark):
+    want = [
+        (b"\xaa\x00\xb3\xbf", "AA00B3BF-arc"), (b"XEX2....", "XEX2-executable"), (b"PIRS", "STFS-package"), (b"LIVE", "STFS-package"), (b"CON x", "STFS-package"), (b"CONx", "tag:CONx"),
+        (b"DDS |", "DDS-texture"), (b"RIFF\x01\0\0\0WAVEfmt ", "RIFF(WAVE)"), (b"RIFF\x01\0", "RIFF()"), (b"XWB\0", "XWB-wavebank"), (b"WBND", "XWB-wavebank"), (b"XMA2", "XMA-audio"), (b"XMAx", "XMA-audio"),
+        (b"OggS", "OGG-audio"), (b"BIKi", "BINK-video"), (b"BIK", "BINK-video"), (b"BIKb", "tag:BIKb"), (b"\x89PNG\r\n", "PNG"), (b"BM", "BMP?"), (b"bhd\0", "bank"), (b"bnk\0", "bank"), (b"PK\3\4", "ZIP"),
+        (b"\x1f\x8b\x08", "GZIP"), (b"\x78\x9c", "ZLIB"), (b"x\x01", "ZLIB"), (b"\x78\xda", "ZLIB"), (b"FSB4", "FMOD-FSB"), (b"FSB5", "FMOD-FSB"), (b"\0\0\0\x0cjP  ", "JP2"), (b"\0\0\0\x0cjPxx", "UNKNOWN"),
+        (b"RSF\0", "RSF"), (b"NUP1", "NUS3"), (b"NUS3", "NUS3"), (b"abcdefgh", "tag:abcd"), (b"\x0e\x48\x37\xc3PK", "block"),
+    ]
+    df = spark.createDataFrame([(x,) for x, _ in want], "b binary")
+    assert [r[0] for r in df.select(fields.classify(F.col("b"))).collect()] == [y for _, y in want]
+
+
 def test_packets(spark):
     word = (5 << 26) | (300 << 11) | (1 << 8) | 9
     data = (struct.pack(">I", word) + b"\0" * 2044) * 2 + b"tail"
