@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables, and the streaming census against its batch form."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -27,6 +29,14 @@ def test_query_agrees_with_sql(spark, name):
     assert sorted((tuple(norm(r[c]) for c in columns) for r in df.collect()), key=repr) == sorted((tuple(norm(r[k]) for k in at) for r in want.fetchall()), key=repr)
 
 
+def test_tiling_takes_whole_texts(spark, tmp_path):
+    texts = ["é" * 5000, "plain", "", "x" * 4096, "y" * 4097, None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.item_id: (r.digest, r.surfaces) for r in queries()["tile_surfaces"](spark, str(tmp_path)).collect()}
+    want = {k: (hashlib.md5(t.encode()).hexdigest(), max(1, -(-len(t.encode()) // 4096))) for k, t in enumerate(texts) if t is not None}
+    assert got == want | {5: (None, 1)}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
