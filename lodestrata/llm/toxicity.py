@@ -3,8 +3,10 @@
 The lexicon (whole words, and stems of five to eight letters) comes from labelled
 rows by smoothed log-odds. Its trie is intersected with Levenshtein automata: a
 state is a set of (trie node, edits so far), and the states that words really
-reach are made once and remembered, so a word costs a table step a letter. Hits
-inside quotation marks, more so beside a verb of speech, weigh less; hits beside
+reach are made once and remembered, so a word costs a table step a letter. Words
+of three and four letters are found misspelled only if the evidence for them is
+strong (`strong_terms`) and clean labelled rows don't have them as words of their
+own; such a hit counts as the word itself with three quarters of its weight. Hits inside quotation marks, more so beside a verb of speech, weigh less; hits beside
 a second person weigh more. A logistic regression on the hits' sums gives the
 score.
 
@@ -66,6 +68,8 @@ class Automaton:
     """Levenshtein automata of a lexicon's terms over their common trie; stems take any ending."""
 
     lexicon: dict[str, float]
+    strong: frozenset[str] = frozenset()
+    spared: frozenset[str] = frozenset()  # words that are no misspellings of strong ones
     states: list[frozenset] = field(default_factory=list)
 
     def __post_init__(self):
@@ -74,9 +78,12 @@ class Automaton:
         self.stem: list[bool] = [False]
         self.room: list[int] = [0]  # edits allowed to any term below
         self.allowed: list[int] = [-1]
+        self.short: set[int] = set()
         for term, weight in self.lexicon.items():
             body, stem = term.rstrip("*"), term.endswith("*")
             allowed = 0 if len(body) < 5 or (stem and len(body) < 7) else 1 if len(body) < 10 else 2
+            if term in self.strong and 3 <= len(body) < 5 and not stem:
+                allowed = 1
             node = 0
             self.room[0] = max(self.room[0], allowed)
             for c in body:
@@ -91,14 +98,16 @@ class Automaton:
                 self.room[node] = max(self.room[node], allowed)
             self.weight[node] = max(self.weight[node], weight)
             self.stem[node] |= stem
+            if len(body) < 5 and allowed:
+                self.short.add(node)
             self.allowed[node] = max(self.allowed[node], allowed)
         self._reset()
 
     def _reset(self) -> None:
         self.steps: list[dict[str, int]] = []
         self.known: dict[frozenset, int] = {}
-        self.accepts: list[tuple[float, float] | None] = []
-        self.memo: dict[str, tuple[float, float]] = {}
+        self.accepts: list[tuple[float, float, float] | None] = []
+        self.memo: dict[str, tuple[float, float, float]] = {}
         self.dead = self._state(frozenset())
         self.start = self._state(self._close({(0, 0)}))
 
@@ -119,14 +128,16 @@ class Automaton:
         if pairs not in self.known:
             self.known[pairs] = len(self.steps)
             self.steps.append({})
-            exact = fuzzy = 0.0
+            exact = fuzzy = near = 0.0
             for node, e in pairs:
                 if 0 <= e <= self.allowed[node]:
                     if e == 0:
                         exact = max(exact, self.weight[node])
+                    elif node in self.short:
+                        near = max(near, self.weight[node] * 0.75**e)
                     else:
                         fuzzy = max(fuzzy, self.weight[node] * 0.75**e)
-            self.accepts.append((exact, 0.0 if exact else fuzzy) if exact or fuzzy else None)
+            self.accepts.append((exact, *((0.0, 0.0) if exact else (fuzzy, near))) if exact or fuzzy or near else None)
             self.states.append(pairs)
         return self.known[pairs]
 
@@ -142,8 +153,8 @@ class Automaton:
                 pairs.update((below, e + 1) for below in self.child[node].values() if e + 1 <= self.room[below])
         return self._state(self._close(pairs))
 
-    def match(self, word: str) -> tuple[float, float]:
-        """(weight of an exact hit, weight of a misspelled one), 0 for none."""
+    def match(self, word: str) -> tuple[float, float, float]:
+        """(weight of an exact hit, of a misspelled one, of a misspelled strong word of three or four letters), 0 for none."""
         found = self.memo.get(word)
         if found is None:
             if len(self.steps) > 40_000 or len(self.memo) > 150_000:
@@ -157,7 +168,10 @@ class Automaton:
                 state = after
                 if state == self.dead:
                     break
-            found = self.memo[word] = self.accepts[state] or (0.0, 0.0)
+            found = self.accepts[state] or (0.0, 0.0, 0.0)
+            if found[2] and (len(word) < 3 or word in self.spared):
+                found = (*found[:2], 0.0)
+            self.memo[word] = found
         return found
 
     def features(self, text: str) -> list[float]:
@@ -167,7 +181,7 @@ class Automaton:
         hits = [k for k, w in enumerate(said) if any(memo.get(w) or self.match(w))]
         sums, most = [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]
         for k in hits:
-            exact, fuzzy = self.match(said[k])
+            exact, fuzzy, near = self.match(said[k])
             left, right = said[max(0, k - WINDOW) : k], said[k + 1 : k + 1 + WINDOW]
             quoted = any(w in _QUOTES for w in left) and any(w in _QUOTES for w in right)
             factor = 1.0
@@ -175,7 +189,7 @@ class Automaton:
                 factor = 0.3 if any(w in _SPEECH for w in left + right) else 0.6
             elif any(w in _PERSONS for w in left[-3:] + right[:3]):
                 factor = 1.2
-            for j, x in enumerate((exact * factor, fuzzy * factor)):
+            for j, x in enumerate((max(exact, near) * factor, fuzzy * factor)):
                 j = 2 if quoted else j
                 sums[j] += x
                 most[j] = max(most[j], x)
@@ -196,6 +210,17 @@ def lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[
     return {t: w for t, w in odds.items() if not t.endswith("*") and w > 1.5} | stems
 
 
+def strong_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> frozenset[str]:
+    """Words of three and four letters whose log-odds pass the lexicon's limit even two standard errors lower."""
+    strong = set()
+    for t, pos, neg in counts:
+        if 3 <= len(t) < 5 and not t.endswith("*"):
+            odds = np.log((pos + 0.2) / (toxic + 1)) - np.log((neg + 0.2) / (clean + 1))
+            if odds - 2 * np.sqrt(1 / (pos + 0.2) + 1 / (neg + 0.2)) > 1.5:
+                strong.add(t)
+    return frozenset(strong)
+
+
 @dataclass
 class Model:
     lexicon: dict[str, float]
@@ -203,6 +228,8 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
     bias: float
+    strong: frozenset[str] = frozenset()
+    spared: frozenset[str] = frozenset()
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip((x - self.mean) / self.scale @ self.weights + self.bias, -30, 30)))
@@ -256,10 +283,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     table = sample.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     telling = F.log((F.col("pos") + 0.2) / (toxic + 1)) - F.log((F.col("neg") + 0.2) / (clean + 1))
     best = table.where((F.col("pos") >= least) & (telling > 1.5)).orderBy(F.desc(telling * F.log1p(F.col("pos"))), "term").limit(limits.terms)
-    found = lexicon([tuple(r) for r in best.collect()], toxic, clean)
+    counts = [tuple(r) for r in best.collect()]
+    found, strong = lexicon(counts, toxic, clean), strong_terms(counts, toxic, clean)
+    spared: frozenset[str] = frozenset()
+    if strong:
+        short = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in sorted(strong)], "_s string"))
+        own = table.where((F.col("neg") > 0) & ~F.endswith("term", F.lit("*")) & (F.length("term") <= 5)).join(short, F.levenshtein("term", "_s") == 1)
+        spared = frozenset(x[0] for x in own.select("term").distinct().collect())  # words of the sample
 
     def measure(batches):
-        auto = Automaton(found)
+        auto = Automaton(found, strong, spared)
         for batch in batches:
             rows = [auto.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.list_(pa.float64())), "y": batch.column(1)})
@@ -270,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     for exact, fuzzy in ((0, 1), (3, 4)):
         if not x[:, fuzzy].any():  # no misspelling in the sample tells for or against: it counts as the word itself
             mean[fuzzy], scale[fuzzy], weights[fuzzy] = 0.0, scale[exact], weights[exact]
-    return Model(found, mean, scale, weights, bias)
+    return Model(found, mean, scale, weights, bias, strong, spared)
 
 
 def judged(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -280,7 +313,7 @@ def judged(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     own = docs.select(row, held, F.col(text).alias("text"))
 
     def run(batches):
-        auto = Automaton(model.lexicon)
+        auto = Automaton(model.lexicon, model.strong, model.spared)
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)

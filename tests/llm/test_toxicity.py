@@ -35,6 +35,32 @@ def test_automaton_equals_edit_distance():
         assert any(auto.match(w)) == any(d[t] <= allowed[t] for t in lexicon)
 
 
+def test_short_words_of_strong_evidence_are_found_misspelled():
+    counts = [("scum", 90, 0), ("rare", 2, 0), ("both", 60, 50), ("scu*", 90, 0)]
+    assert toxicity.strong_terms(counts, 350, 1500) == {"scum"}
+    auto = toxicity.Automaton({"scum": 7.0, "rare": 3.0}, frozenset({"scum"}), frozenset({"scam"}))
+    assert auto.match("scum") == (7.0, 0.0, 0.0)
+    assert all(auto.match(w) == (0.0, 0.0, 7.0 * 0.75) for w in ("scuum", "scvm", "scm", "scun"))
+    assert not any(any(auto.match(w)) for w in ("scam", "scvn", "rarer", "rxre", "sc"))
+
+
+def test_misspelled_short_word_alone_is_toxic(spark, documents):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice(["an", "re", "ti", "ble", "en", "ou"]) for _ in range(3))
+    rows, labels = [], []
+    for k in range(400):
+        body = [word() for _ in range(30)]
+        if k % 4 == 0:
+            body[5] = r.choice(["scum", "scum", "worthless"])
+        rows.append((k, " ".join(body)))
+        labels.append((k, int(k % 4 == 0)))
+    rows += [(900, "anre tible scuum anti"), (901, "anre tible scvm anti"), (902, "anre tible anti")]
+    _, df = documents(rows)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(df, model).where("doc_id >= 900").collect()}
+    assert got == {900: 1, 901: 1, 902: 0}
+
+
 def test_quotation_weighs_less():
     auto = toxicity.Automaton({"moron": 3.0})
     assert auto.features('he wrote "moron" in the quote')[0] == 0 < auto.features("what a moron he is")[0]
