@@ -110,6 +110,34 @@ def edited_images(folder: str) -> list[tuple[str, int, str]]:
     return out
 
 
+def scan_folder(spark: SparkSession, path: str, folder: str) -> tuple[dict[int, dict[int, str]], list[str]]:
+    """(entry -> texture number -> path, what can't be resolved) of the edited images in a tree of any depth.
+
+    A folder of digits is an entry's index; any other must be the stem of an entry's
+    name. Unresolved are folders without an entry, and images without a leading number.
+    """
+    known = open_archive(spark, path).where(F.col("name") != "").select("idx", "name").orderBy("idx").collect()  # a catalogue has hundreds of names
+    by_stem = {r["name"].rsplit(".", 1)[0].lower(): r["idx"] for r in known}
+    plan: dict[int, dict[int, str]] = {}
+    unresolved = []
+    for where, _, names in sorted(os.walk(folder)):
+        images = [x for x in sorted(names) if x.rpartition(".")[2].lower() in ("dds", "png", "tga", "bmp")]
+        if not images:
+            continue
+        leaf = os.path.basename(where.rstrip(os.sep))
+        idx = int(leaf) if leaf.isdigit() else by_stem.get(leaf.lower())
+        if idx is None:
+            unresolved.append(where)
+            continue
+        for name in images:
+            m = re.match(r"^(\d+)_", name)
+            if m:
+                plan.setdefault(idx, {})[int(m[1])] = os.path.join(where, name)
+            else:
+                unresolved.append(os.path.join(where, name))
+    return plan, unresolved
+
+
 def apply_edits(path: str, edits: dict[int, dict[int, np.ndarray]], dry_run: bool = False) -> dict[int, str]:
     """Replace textures (entry -> number -> image) in an image, one rebuild an entry, journalled; the error of each entry that failed."""
     archive, patcher, failed = disc.Archive.open(path), Patcher(path, dry_run=dry_run), {}

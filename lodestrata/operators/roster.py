@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import struct
 
 # Fixed values of the save format: data base, directory place and record size, the colour chunk and its fields, team order.
@@ -59,3 +61,13 @@ def with_colour(data: bytes, team: str, primary: str | None = None, secondary: s
         if value is not None:
             out[at + place : at + place + 3] = bytes.fromhex(value)
     return bytes(out)
+
+
+def save(path: str, data: bytes, backup: bool = True) -> None:
+    """Write a save in place, never at another length. What it was before the first change stays beside it as .colorbak."""
+    if len(data) != os.path.getsize(path):
+        raise ValueError("a save may not change its length")
+    if backup and not os.path.exists(f"{path}.colorbak"):
+        shutil.copy2(path, f"{path}.colorbak")
+    with open(path, "r+b") as f:
+        f.write(data)

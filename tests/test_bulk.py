@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata import cli
 from lodestrata.functions import lzss
-from lodestrata.operators import bulk, journal, mining, textures
+from lodestrata.operators import bulk, journal, mining, roster, textures
 from tests.fixtures import archive, image, package, picture
 
 
@@ -54,6 +54,31 @@ def test_write_back_and_revert(spark, disc_image):
     assert open(path, "rb").read() == before and journal.Patcher(path).pending() == 0
 
 
+def test_save_and_journal_backups(tmp_path):
+    path = tmp_path / "roster"
+    path.write_bytes(b"first")
+    roster.save(str(path), b"other")
+    roster.save(str(path), b"third")
+    assert path.read_bytes() == b"third" and (tmp_path / "roster.colorbak").read_bytes() == b"first"
+    with pytest.raises(ValueError):
+        roster.save(str(path), b"longer than it was")
+    patcher = journal.Patcher(str(path))
+    assert patcher.backup() is None
+    patcher.write(0, b"T")
+    assert open(patcher.backup()).read() == open(patcher.path).read()
+
+
+def test_edited_folders_are_resolved_and_the_rest_reported(spark, disc_image, tmp_path):
+    root = tmp_path / "edited"
+    for name in ("logos/logo_bos/03_a.dds", "logos/LOGO_BOS/04_b.png", "unnamed/00002/1_x.tga", "logos/logo_bos/plain.dds", "logos/nobody/00_a.dds", "logos/notes.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"")
+    plan, unresolved = bulk.scan_folder(spark, disc_image[0], str(root))
+    where = lambda x: str(root / x)
+    assert plan == {0: {3: where("logos/logo_bos/03_a.dds"), 4: where("logos/LOGO_BOS/04_b.png")}, 2: {1: where("unnamed/00002/1_x.tga")}}
+    assert sorted(unresolved) == sorted([where("logos/logo_bos/plain.dds"), where("logos/nobody")])
+
+
 def test_cli_lists(spark, disc_image, capsys):
     cli.main([disc_image[0], "find", "BOS"])
     assert "logo_bos.iff" in capsys.readouterr().out
