@@ -1,21 +1,27 @@
 """Nearest neighbours by largest inner product: robust-pruned directed graphs, one a shard, searched by beams.
 
-Equal vectors become one class. Classes are dealt to shards of about SHARD
-vectors by a hash; each shard is one graph, built and kept as a file in the
-shared folder. One more coordinate, sqrt(M^2 - |x|^2), gives all vectors the
-largest norm M, so inner products and distances order alike. A point's
-neighbours are proposed by a greedy search from the shard's medoid and pruned:
-the nearest is kept and drops every candidate that it is nearer to by the factor
-ALPHA, so diverse edges stay; edges go both ways, pruned again beyond DEGREE.
-Queries go in blocks to every shard; a beam search there gives the best classes,
-scored in double precision on the original vectors, and the best of all shards
-are merged and their members listed.
-
-Every row is indexed. Defined results: vectors that are null, zero, hold null or
-non-finite components, or have another length than most, and rows without id,
-take no part. A query's own rows (equal id) are never its answers; other rows
-with equal vectors are, smaller ids first. Fewer candidates than asked for give
-fewer rows; an empty table gives none.
+Equal vectors become one class. Classes are dealt to shards by a hash; a shard
+is one graph of up to SHARD vectors, built and kept as a file in the shared
+folder. Vectors are scaled by the largest norm, and one more coordinate,
+sqrt(1 - |x|^2), gives all of them the same norm, so inner products and distances
+order alike. A point's neighbours are proposed by a greedy search from the
+shard's medoid and pruned: the nearest is kept and drops every candidate that it
+is nearer to by the factor ALPHA, so diverse edges stay; edges go both ways,
+pruned again beyond DEGREE. Queries go in blocks to every shard; a beam search
+there gives the best classes, scored in double precision on the original
+vectors, and the best of all shards are merged and their members listed.
+
+The shards' number follows memory (SHARD), but there are up to PARALLEL of them
+where each keeps LEAST vectors, so that a small table is built by many tasks.
+
+Every row is indexed. Defined results: vectors that are null, zero, or hold null
+or non-finite components, and rows without id, take no part. Vectors of unlike
+lengths are never compared: each length has its own shards. Repeated rows count
+once, as a query and as a candidate. An id with several vectors asks with each
+and answers with each; its score is the best of them, and no id is twice in an
+answer. A query's own id is never in its answer; other rows with equal vectors
+are, smaller ids first. Fewer candidates than asked for give fewer rows; an empty
+table gives none. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +38,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import store
 
-SHARD = 8192
+SHARD, LEAST, PARALLEL = 1 << 18, 8192, 16
 DEGREE, BUILD_BEAM, ALPHA = 32, 64, 1.2
 SEARCH_BEAM, EXPAND = 160, 8
-BLOCK = 512
+#: Queries a task, and marks of visited points that a search holds at a time.
+BLOCK, SEEN = 512, 1 << 25
 
 
 def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, expand: int = EXPAND):
@@ -161,78 +168,86 @@ def _load(path: str) -> dict:
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def valid_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id long, vector array<float>) of the rows that take part."""
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    """(id long, vector, size) of the rows that take part, each once; floats stay floats, other numbers become doubles."""
+    kind = "array<float>" if table.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
-    size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vector") == (size[0]["n"] if size else 0))
+    return rows.distinct().withColumn("size", F.size("vector"))
 
 
-def build_index(vectors: DataFrame, out: str, shard_rows: int = SHARD) -> tuple[DataFrame, int]:
-    """Write a graph file a shard under `out`; (classes: rep and vector, shards)."""
-    classes = store.kept(vectors.groupBy("vector").agg(F.min("id").alias("rep")), "vector-classes")
+def members(vectors: DataFrame, most: int) -> DataFrame:
+    """(rep, tag, id, vector, size, place) of the `most` smallest ids of each vector; rep, the smallest, and tag name the class."""
+    # a group limit before the shuffle: of a hot vector each task passes on `most` rows
+    own = Window.partitionBy("vector")
+    ranked = vectors.withColumn("place", F.row_number().over(own.orderBy("id"))).where(F.col("place") <= most)
+    return ranked.withColumn("rep", F.min("id").over(own)).withColumn("tag", F.xxhash64("vector")).select("rep", "tag", "id", "vector", "size", "place")
+
+
+def build_index(classes: DataFrame, out: str, shard_rows: int | None = None) -> DataFrame:
+    """Write a graph file a shard of the classes (rep, tag, vector, size) under `out`; the shards: (size, shard, vectors)."""
     norm2 = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, largest = classes.agg(F.count("*"), F.max(norm2)).first()
-    shards = max(1, -(-n // shard_rows))
-    if not n:
-        return classes, 0
+    shards = max(1, -(-n // (shard_rows or SHARD)), 0 if shard_rows else min(PARALLEL, -(-n // LEAST)))
+    unit = float(largest or 1.0) ** 0.5
 
     def make(key, group):
-        x, reps = _matrix(group.column("vector")), group.column("rep").to_numpy()
-        order = np.argsort(reps)
-        x, reps = x[order], reps[order]
-        rest = np.sqrt(np.maximum(largest - (x.astype(np.float64) ** 2).sum(1), 0)).astype(np.float32)
-        points = np.concatenate((x, rest[:, None]), 1)
-        graph, medoid = build(points, float(largest))
-        _save(f"{out}/shard-{key[0].as_py():06d}.npz", points=points, reps=reps, graph=graph.astype(np.int32), start=np.array(medoid))
-        return pa.table({"shard": [key[0].as_py()], "vectors": [len(x)]})
-
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    built = dealt.groupBy("shard").applyInArrow(make, "shard long, vectors long")
-    built.agg(F.sum("vectors")).collect()
-    return classes, shards
-
-
-def search(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD) -> DataFrame:
+        x, reps, tags = _matrix(group.column("vector")), group.column("rep").to_numpy(), group.column("tag").to_numpy()
+        order = np.lexsort((tags, reps))
+        x, reps, tags = x[order], reps[order], tags[order]
+        scaled = x.astype(np.float64) / unit
+        rest = np.sqrt(np.maximum(1 - (scaled**2).sum(1), 0))
+        points = np.concatenate((scaled, rest[:, None]), 1).astype(np.float32)
+        graph, medoid = build(points, 1.0)
+        size, shard = (k.as_py() for k in key)
+        _save(f"{out}/shard-{size}-{shard}.npz", vectors=x, points=points, reps=reps, tags=tags, graph=graph.astype(np.int32), start=np.array(medoid))
+        return pa.table({"size": pa.array([size], pa.int32()), "shard": pa.array([shard], pa.int32()), "vectors": [len(x)]})
+
+    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("rep", "tag"), F.lit(shards)).cast("int"))
+    return store.kept(dealt.groupBy("size", "shard").applyInArrow(make, "size int, shard int, vectors long"), "ann-shards")
+
+
+def search(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each row whose id is divisible by `every`."""
     spark = table.sparkSession
     vectors = store.kept(valid_vectors(table, key, vector), "vectors")
+    named = store.kept(members(vectors, k + 1), "vector-members")
     out = store.fresh(spark, "ann-index")
-    classes, shards = build_index(vectors, out, shard_rows)
-    if not shards:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards = build_index(named.where(F.col("place") == 1), out, shard_rows)
     asked = vectors.where(F.col("id") % every == 0)
     blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    # every block of the stated query set goes to every shard
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = asked.select("id", "vector", "size", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    # every block of the stated query set goes to every shard of its vectors' length; a row a shard is broadcast
+    asked = asked.join(F.broadcast(shards.select("size", "shard")), "size")
 
     def run(key, group):
-        index = _load(f"{out}/shard-{key[0].as_py():06d}.npz")
-        q = _matrix(group.column("vector"))
-        ids = group.column("id").to_numpy()
-        found, _ = beam_search(index["points"], index["graph"].astype(np.int64), int(index["start"]), np.pad(q, ((0, 0), (0, 1))), min(SEARCH_BEAM, len(index["points"])))
-        found = found[:, : 2 * k + 8]
-        x = index["points"][np.maximum(found, 0), :-1].astype(np.float64)
-        score = np.einsum("qij,qj->qi", x, q.astype(np.float64))
-        score[found < 0] = -np.inf
-        best = np.lexsort((index["reps"][found], -score))[:, : k + 1]
-        found, score = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
-        keep = found >= 0
-        return pa.table({"query_id": np.repeat(ids, keep.sum(1)), "rep": index["reps"][found[keep]], "score": score[keep]})
-
-    near = asked.groupBy("shard", "block").applyInArrow(run, "query_id long, rep long, score double")
+        index = _load(f"{out}/shard-{key[0].as_py()}-{key[1].as_py()}.npz")
+        q, ids = _matrix(group.column("vector")), group.column("id").to_numpy()
+        x, points, graph = index["vectors"], index["points"], index["graph"]
+        parts, step = [], max(1, SEEN // len(points))
+        for a in range(0, len(q), step):
+            own = q[a : a + step].astype(np.float64)
+            scaled = own / np.abs(own).max(1, keepdims=True)
+            found, _ = beam_search(points, graph, int(index["start"]), np.pad(scaled, ((0, 0), (0, 1))).astype(np.float32), min(SEARCH_BEAM, len(points)))
+            found = found[:, : 2 * k + 8]
+            score = np.einsum("qij,qj->qi", x[np.maximum(found, 0)].astype(np.float64), own)
+            score[found < 0] = -np.inf
+            best = np.lexsort((index["reps"][found], -score))[:, : k + 1]
+            found, score = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
+            keep = found >= 0
+            parts.append(pa.table({"query_id": np.repeat(ids[a : a + step], keep.sum(1)), "rep": index["reps"][found[keep]], "tag": index["tags"][found[keep]], "score": score[keep]}))
+        return pa.concat_tables(parts)
+
+    near = asked.groupBy("size", "shard", "block").applyInArrow(run, "query_id long, rep long, tag long, score double")
+    near = near.groupBy("query_id", "rep", "tag").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     near = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).drop("_r")
-    # of a class, the k + 1 smallest ids can be answers
-    members = vectors.join(classes, "vector").select("rep", "id")
-    members = members.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r").distinct()
-    rows = near.join(members, "rep").where(F.col("id") != F.col("query_id"))
+    rows = near.join(named.select("rep", "tag", "id"), ["rep", "tag"]).where(F.col("id") != F.col("query_id"))
+    rows = rows.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     rows = rows.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return rows.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

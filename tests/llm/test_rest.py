@@ -180,3 +180,50 @@ def test_nearest_against_brute_force(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+
+
+def nearest(rows, every, k):
+    """{query: [(id, score)]} by brute force: rows of (id, vector), an id's score being its best."""
+    out = {}
+    for q, a in rows:
+        if q % every == 0:
+            own = out.setdefault(q, {})
+            for v, b in rows:
+                if v != q and len(a) == len(b):
+                    score = float(np.dot(np.array(a, float), np.array(b, float)))
+                    own[v] = max(score, own.get(v, -np.inf))
+    return {q: sorted(x.items(), key=lambda y: (-y[1], y[0]))[:k] for q, x in out.items()}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_of_repeated_rows(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(100, 8)).astype(np.float32 if kind == "float" else np.float64)
+    x[3:9] = x[3]
+    rows = [(k, x[k].tolist()) for k in range(100)]
+    rows += [rows[3]] * 30 + [rows[20]] * 3  # repeated rows, a repeated query
+    rows += [(40, x[57].tolist()), (57, x[11].tolist())]  # ids with several vectors
+    rows += [(200 + k, [float(k), 1.0]) for k in range(25)] + [(220, [1.0, -3.0])]  # another length
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 as id", "2 as tag")
+    got = {}
+    for r in ann.search(df, shard_rows=60).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = nearest([(k, v) for k, v in dict.fromkeys((k, tuple(v)) for k, v in rows)], 20, 20)
+    assert got.keys() == want.keys()
+    for q, found in got.items():
+        assert [v for v, _ in found] == [v for v, _ in want[q]] and len({v for v, _ in found}) == len(found)
+        assert np.allclose([s for _, s in found], [s for _, s in want[q]], rtol=1e-12)
+
+
+def test_nearest_with_a_hot_vector(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 6))
+    x[0] *= 9
+    x[::3] = x[0]  # a third of all rows
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = nearest(rows, 20, 20)
+    assert got[0] == list(range(3, 63, 3))
+    assert sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want) >= 0.98 * sum(map(len, want.values()))
