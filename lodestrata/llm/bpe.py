@@ -2,13 +2,19 @@
 
 A pair of neighbouring bytes that no vocabulary token holds can never be merged
 over, so a word is cut there for certain. The fragments between such cuts are
-encoded independently of each other and the ids concatenated; equal fragments
-are encoded once a worker (a bounded memo).
+encoded independently of each other and the ids concatenated. The distinct
+words of a batch that a worker's memo lacks are encoded together: in each round every fragment makes its
+merge of lowest rank (the leftmost of equal ones), by numpy over all fragments
+at once. Long fragments are merged one at a time over a heap, so their cost
+stays near-linear. Decoding is a step of its own: it gathers the bytes of each
+id's token from a table.
 
 Defined results: a null or empty text has no ids and decodes to ''. Special
-strings inside a text become their ids. Repeated and tied rows each keep a row;
-columns other than the two named ones are ignored. Decoding is the tokenizers
-library's for a file without decoder: the tokens joined by spaces.
+strings inside a text become their ids. Texts are taken whole, whatever their
+length, in batches of some MB (one text at least). Repeated and tied rows each
+keep a row; columns other than the two named ones are ignored; an empty table
+gives no rows. Decoding is the tokenizers library's for a file without decoder:
+the tokens joined by spaces.
 """
 
 from __future__ import annotations
@@ -16,16 +22,24 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestrata.llm import pretoken
+from lodestrata.llm import pretoken, store
 
-#: Words and fragments that a worker remembers; beyond that it starts anew.
-MEMO = 150_000
+#: Bytes of texts that are taken together.
+CHUNK = 4 << 20
+#: Places in a worker's memo, as a power of two (some 60 bytes each, half of them used).
+MEMO = 19
+#: Fragments of more bytes are merged over a heap.
+LONG = 48
+
+_NONE = np.int64(1 << 30)
+_PLACE = (1 << 32) - 1
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class ForcedBoundaryBPE:
@@ -33,98 +47,179 @@ class ForcedBoundaryBPE:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        self.specials = pretoken.Specials(path)
-        model = model["model"]
-        self.end = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(model["merges"])}
-        self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.ids.items()}
-        self.path = path
-        self.letters = {chr(b): x for b, x in enumerate(pretoken.BYTE_LETTERS)}
-        self.inside: set[str] = set()  # neighbours inside some token
-        self.closing: set[str] = set()  # neighbours of which the second ends a word
-        for token in self.vocab:
-            final = bool(self.end) and token.endswith(self.end)
-            body = token.removesuffix(self.end) if final else token
-            pairs = [body[k : k + 2] for k in range(len(body) - 1)]
-            if final and pairs:
-                self.closing.add(pairs.pop())
-            self.inside.update(pairs)
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self.memo: dict[str, tuple[bytes, str]] = {}
-
-    def fragments_of(self, word: str) -> list[tuple[str, bool]]:
-        """(byte-level fragment, whether it ends the word), cut where no token can reach over."""
-        body = "".join(map(self.letters.__getitem__, word.encode().decode("latin-1")))
-        out, start, last = [], 0, len(body) - 1
-        for k in range(last):
-            if body[k : k + 2] not in (self.closing if k + 1 == last else self.inside):
-                out.append((body[start : k + 1], False))
-                start = k + 1
-        return [*out, (body[start:], True)]
-
-    def merge(self, fragment: str, final: bool) -> tuple[int, ...]:
-        """The ids of one fragment: the lowest-ranked pair first, leftmost first, over a linked list and a heap."""
-        parts: list[str | None] = list(fragment)
-        if final:
-            parts[-1] += self.end
-        n, ranks = len(parts), self.ranks
+            model = json.load(f)["model"]
+        self.specials, self.path = pretoken.Specials(path), path
+        self.memo = pretoken.Memo(MEMO)
+        self.end: str = model["end_of_word_suffix"] or ""
+        vocab: dict[str, int] = model["vocab"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        letters = pretoken.BYTE_LETTERS
+        if missing := [x for x in letters if x not in vocab or x + self.end not in vocab]:
+            raise ValueError(f"the vocabulary lacks bytes: {missing[:8]}")
+        self.inner = np.array([vocab[x] for x in letters])  # ids of a byte inside a word, and at its end
+        self.final = np.array([vocab[x + self.end] for x in letters])
+        self._tables(vocab)
+        self._merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.ids.items()}
+        self.known = np.zeros(max(names) + 1, bool)
+        self.known[list(names)] = True
+        raw = [names[i].encode() + b" " if i in names else b"" for i in range(len(self.known))]
+        self.name_bytes, self.name_first = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+
+    def _tables(self, vocab: dict[str, int]) -> None:
+        """Which neighbouring bytes some token holds: the second inside a word, or ending it."""
+        byte = {x: b for b, x in enumerate(pretoken.BYTE_LETTERS)}
+        self.inside, self.closing = np.zeros((256, 256), bool), np.zeros((256, 256), bool)
+        for token in vocab:
+            ends = bool(self.end) and token.endswith(self.end)
+            body = [byte[c] for c in (token.removesuffix(self.end) if ends else token) if c in byte]
+            pairs = list(zip(body, body[1:]))
+            if ends and pairs:
+                self.closing[pairs.pop()] = True
+            for x in pairs:
+                self.inside[x] = True
+
+    def _merges(self, merges: list[tuple[int, int, int]]) -> None:
+        """An open-addressing table from a pair of ids to the merge's rank."""
+        self.made = np.array([m[2] for m in merges], np.int64)
+        self.rank = {(a, b): r for r, (a, b, _) in reversed(list(enumerate(merges)))}
+        bits = max(4, (8 * len(merges)).bit_length())
+        self.shift, mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(mask + 1, -1, np.int64), np.full(mask + 1, _NONE)
+        for (a, b), r in self.rank.items():
+            key = a << 32 | b
+            at = int((key * int(_SPREAD) & (1 << 64) - 1) >> int(self.shift))
+            while self.keys[at] >= 0:
+                at = (at + 1) & mask
+            self.keys[at], self.ranks[at] = key, r
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, _NONE where they never merge."""
+        key = a << 32 | b
+        at = ((key.astype(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+        there = self.keys[at]
+        out = np.where(there == key, self.ranks[at], _NONE)
+        left = np.flatnonzero((there != key) & (there >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[left]]
+            hit = there == key[left]
+            out[left[hit]] = self.ranks[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+    def _lockstep(self, ids: np.ndarray, first: np.ndarray) -> pretoken.Ragged:
+        """All merges of all (non-empty) fragments."""
+        n = len(first) - 1
+        size, fragment = np.diff(first), np.arange(n)
+        last = np.zeros(len(ids), bool)
+        last[first[1:] - 1] = True
+        rank = np.full(len(ids), _NONE)
+        inner = np.flatnonzero(~last)
+        rank[inner] = self._ranks(ids[inner], ids[inner + 1])
+        sizes, done = np.zeros(n, np.int64), []
+        while len(fragment):
+            start = np.cumsum(size) - size
+            low = np.minimum.reduceat((rank << 32) + np.arange(len(ids)), start)
+            live = low < _NONE << 32
+            at = low[live] & _PLACE
+            ids[at] = self.made[rank[at]]
+            last[at] = last[at + 1]
+            drop = np.repeat(~live, size)
+            sizes[fragment[~live]] = size[~live]
+            done.append((fragment[~live], ids[drop]))
+            drop[at + 1] = True
+            at -= np.cumsum(drop)[at]
+            ids, rank, last = ids[~drop], rank[~drop], last[~drop]
+            size, fragment = size[live] - 1, fragment[live]
+            rank[at] = _NONE
+            some = at[~last[at]]
+            rank[some] = self._ranks(ids[some], ids[some + 1])
+            some = at[at > np.cumsum(size) - size] - 1
+            rank[some] = self._ranks(ids[some], ids[some + 1])
+        to = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.empty(to[-1], np.int64)
+        for own, found in done:
+            n = sizes[own]
+            out[np.arange(len(found)) + np.repeat(to[own] - np.cumsum(n) + n, n)] = found
+        return out, to
+
+    def _heap(self, ids: list[int]) -> list[int]:
+        """All merges of one fragment, over a linked list and a heap of (rank, place)."""
+        n, get = len(ids), self.rank.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (r := ranks.get((a, b))) is not None]
+        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get((a, b))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b = heapq.heappop(heap)
+            r, k, a, b = heapq.heappop(heap)
             j = after[k]
-            if parts[k] != a or j >= n or parts[j] != b:
+            if ids[k] != a or j >= n or ids[j] != b:
                 continue
-            parts[k], parts[j], after[k] = a + b, None, after[j]
+            ids[k], ids[j], after[k] = int(self.made[r]), -1, after[j]
+            for left, right in ((before[k], k), (k, after[k])):
+                if left >= 0 and right < n and (r := get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (r, left, ids[left], ids[right]))
             if after[k] < n:
                 before[after[k]] = k
-                if (r := ranks.get((a + b, parts[after[k]]))) is not None:
-                    heapq.heappush(heap, (r, k, a + b, parts[after[k]]))
-            if before[k] >= 0 and (r := ranks.get((parts[before[k]], a + b))) is not None:
-                heapq.heappush(heap, (r, before[k], parts[before[k]], a + b))
-        return tuple(self.vocab[p] for p in parts if p is not None)
-
-    def _remember(self, key: str, words: list[str]) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, decoded tokens) of the words, under `key`."""
-        ids: list[int] = []
-        for word in words:
-            for piece in self.fragments_of(word):
-                found = self.fragments.get(piece)
-                if found is None:
-                    found = self.merge(*piece)
-                    if len(piece[0]) <= 64:
-                        if len(self.fragments) >= MEMO:
-                            self.fragments.clear()
-                        self.fragments[piece] = found
-                ids.extend(found)
-        made = array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
-        if len(key) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[key] = made
-        return made
-
-    def encode_decode(self, text: str) -> tuple[bytes, str]:
-        """A whole text's ids as little-endian unsigned 32-bit integers, and its decoded form."""
-        made: list[tuple[bytes, str]] = []
-        get = self.memo.get
-        for piece in self.specials.pieces(text):
-            if piece in self.specials.ids:
-                made.append((array("I", [self.specials.ids[piece]]).tobytes(), piece))
-            elif pretoken.plain(piece):
-                made += [get(part) or self._remember(part, pretoken.words(part)) for part in piece.split()]
-            else:
-                made += [get(word) or self._remember(word, [word]) for word in pretoken.library_words(piece, self.path)]
-        return b"".join([a for a, _ in made]), " ".join([b for _, b in made])
+        return [x for x in ids if x >= 0]
+
+    def _cut(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(byte ids, first of each fragment + total) of the bytes of words."""
+        full = first[:-1][np.diff(first) > 0]
+        ends = np.zeros(len(data) + 1, bool)
+        ends[np.append(full, len(data))] = True
+        final = ends[1:]
+        begins = ends[:-1].copy()
+        closing = np.append(final[1:], False)
+        begins[1:] |= ~np.where(closing, self.closing[data, np.append(data[1:], 0)], self.inside[data, np.append(data[1:], 0)])[:-1]
+        return np.where(final, self.final[data], self.inner[data]), np.append(np.flatnonzero(begins), len(data))
+
+    def encode_words(self, words: list[str]) -> pretoken.Ragged:
+        """The ids of each word (none of an empty one)."""
+        data, of_word = store.utf8(pa.array(words, pa.large_string()))
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
+        ids, first = self._cut(data, of_word)
+        long = np.flatnonzero(np.diff(first) > LONG)
+        if len(long):
+            short = np.diff(first) <= LONG
+            some, at = pretoken.gather(ids, first, np.flatnonzero(short))
+            merged, to = self._lockstep(some, at)
+            rows = [merged[a:b] for a, b in zip(to, to[1:])] if len(at) > 1 else []
+            own = iter(rows)
+            rows = [next(own) if s else np.array(self._heap(ids[first[k] : first[k + 1]].tolist()), np.int64) for k, s in enumerate(short)]
+            merged, to = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+        else:
+            merged, to = self._lockstep(ids, first)
+        return merged, to[np.searchsorted(first, of_word)]
+
+    def fragments_of(self, word: str) -> list[bytes]:
+        """The bytes of a word between its forced cuts."""
+        data = np.frombuffer(word.encode(), np.uint8)
+        _, first = self._cut(data, np.array([0, len(data)]))
+        return [data[a:b].tobytes() for a, b in zip(first, first[1:])]
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's start, where they end)."""
+        return pretoken.encode_many(texts, self.specials, self.path, self.encode_words, self.memo)
+
+    def decode_many(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(UTF-8 bytes of all, where each decoded text starts, where it ends); ids without a token are left out."""
+        ok = self.known[np.minimum(ids, len(self.known) - 1)] & (ids < len(self.known))
+        raw, first = pretoken.gather(self.name_bytes, self.name_first, np.where(ok, ids, 0)) if ok.all() else self._some(ids, ok)
+        a, b = first[starts], first[ends]
+        return raw, a, np.maximum(a, b - 1)
+
+    def _some(self, ids: np.ndarray, ok: np.ndarray) -> pretoken.Ragged:
+        raw, first = pretoken.gather(self.name_bytes, self.name_first, ids[ok])
+        return raw, first[np.concatenate(([0], np.cumsum(ok)))]
 
     def encode(self, text: str) -> list[int]:
-        return memoryview(self.encode_decode(text)[0]).cast("I").tolist()
+        return self.encode_many([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        raw, a, b = self.decode_many(np.array(ids, np.int64), np.array([0]), np.array([len(ids)]))
+        return raw[a[0] : b[0]].tobytes().decode()
 
 
 @lru_cache(maxsize=2)
@@ -142,30 +237,17 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
         coder = encoder(path)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            n, ids, decoded = [], [], []
-            start = 0
-
-            def flush(end):
-                own = batch.slice(start, end - start)
-                last = pa.string() if digests else pa.binary()
-                return pa.RecordBatch.from_arrays(
-                    [*own.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, last), pa.array(decoded, pa.string())],
-                    names=[*own.schema.names[:-1], *(x.split()[0] for x in made.split(", "))],
-                )
-
-            size = 0
-            for k in range(len(texts)):
-                a, b = coder.encode_decode(texts[k].as_py() or "")
-                n.append(len(a) // 4)
+            for a, b in store.chunks(store.utf8(texts)[1], CHUNK):
+                own = batch.slice(a, b - a)
+                ids, starts, ends = coder.encode_many([t or "" for t in texts.slice(a, b - a).to_pylist()])
+                raw, lo, hi = coder.decode_many(ids, starts, ends)
+                ids, raw = memoryview(ids.astype("<u4").tobytes()), memoryview(raw)
+                id_bytes = [ids[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist())]
+                said = [raw[s:e] for s, e in zip(lo.tolist(), hi.tolist())]
                 if digests:
-                    a, b = hashlib.sha256(a).hexdigest(), hashlib.sha256(b.encode()).hexdigest()
-                ids.append(a)
-                decoded.append(b)
-                size += len(a) + len(b)
-                if size > 32_000_000:
-                    yield flush(k + 1)
-                    start, size, n, ids, decoded = k + 1, 0, [], [], []
-            if n:
-                yield flush(len(texts))
+                    columns = [pa.array([hashlib.sha256(x).hexdigest() for x in c], pa.string()) for c in (id_bytes, said)]
+                else:
+                    columns = [pa.array([bytes(x) for x in id_bytes], pa.binary()), pa.array([str(x, "utf-8") for x in said], pa.string())]
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(ends - starts), *columns], names=[*own.schema.names[:-1], *(x.split()[0] for x in made.split(", "))])
 
     return docs.select(key, *keep, text).mapInArrow(run, schema)

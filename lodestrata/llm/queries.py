@@ -25,7 +25,7 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm import token_ids
 
     manifest = token_ids.write(_table(spark, sf_dir, "documents"), _word_bpe(), store.fresh(spark, "token-ids"))
-    return token_ids.read(spark, manifest, ids=False)
+    return token_ids.read(manifest, ids=False)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
