@@ -1,29 +1,34 @@
 """Benchmark decontamination: passages within a word edit distance of a benchmark item.
 
 Texts and items are sequences of word hashes (lower case, letters and digits).
-For every item, item-sized windows of a text are embedded by CGK random walks: a
-walk copies the current word at each of 3n steps and moves on by a random bit of
-(step, word), so that few edits make few differences between two copies.
-Repeated sampling of a few steps of the embeddings (LSH by REPEATS keys of
-SAMPLED steps) proposes windows, and a semi-global edit distance decides.
-
-Windows start where the text shares a word triple with the item, and only in
-texts that share at least as many as an occurrence within the allowed edits must
-(an item of n words with d edits keeps n - 2 - 3d of its triples), which loses
-nothing. The allowed edits of an item are 20 % of its words, less where that
-bound would reach zero.
-
-Items are held by each worker; a benchmark beyond BLOCK_ITEMS is taken in blocks
-of that size, each against all texts. Defined results: null and empty texts, and
-items without words, match nothing; equal items each match; repeated rows each
-give their own; a key may be null. One row a document row and item: the nearest
-passage, the first of equally near ones. Further columns are ignored.
+A CGK random walk embeds the sequence that starts at a word: it copies the
+current word at each step and moves on by a random bit of (step, word), so that
+few edits make few differences between two embeddings. Repeated bit sampling
+(LSH): the key of a window under one of REPEATS walks is the word it starts at
+and the embedding at SAMPLED random steps of the first three fifths of the item's
+size (`_span`), one of them the third. An item is put in under the keys of its windows at several starts
+(`_anchors`: a quarter of its words, 16 at least, those that fewest items have),
+a text under the keys of its windows at
+every word that some item starts a window with. Where keys meet, the passage is
+proposed, and a semi-global edit distance decides. Items of one or two words must
+occur as they are and are looked up as such.
+
+Recall: an occurrence within the allowed edits keeps most of its starts, and each
+start has REPEATS tries, so it is missed only if all their sampled steps are
+disturbed. For the most edits allowed, tests require 0.99 at every size from 3 to
+300 words; without edits nothing is missed. The allowed edits are 20 % of an
+item's words.
+
+Items are held by each worker, by broadcast; a benchmark beyond BLOCK_MB is taken
+in blocks of that size, each against all texts. Defined results: null and empty
+texts, and items without words, match nothing; equal items each match; repeated
+rows each give their own; a key may be null. One row a document row and item: the
+nearest passage, the first of equally near ones. Texts are taken whole, whatever
+their length. Empty tables give no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,11 +38,13 @@ from pyspark.sql import functions as F
 from lodestrata.llm import store, words
 
 SIMILARITY = 0.8
-REPEATS, SAMPLED = 96, 2
-BLOCK_ITEMS = 20_000
+REPEATS, SAMPLED, EARLY, LONG = 8, 4, 3, 64
+#: Text of items that a worker holds at a time.
+BLOCK_MB = 8
 CHUNK = 1 << 20
 
 _SEEDS = np.random.default_rng(71).integers(0, 1 << 63, REPEATS, dtype=np.uint64)
+_ODD = np.random.default_rng(72).integers(0, 1 << 62, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0xD1342543DE82EF95
 
 
@@ -51,26 +58,63 @@ def normal_words(column: pa.Array):
 
 
 def allowed(n: int) -> int:
-    """Edits that an item of n words may have, so that at least one word triple survives them."""
-    return max(0, min(int((1 - SIMILARITY) * n + 1e-9), (n - 3) // 3))
-
-
-def cgk(symbols: np.ndarray, length: np.ndarray, steps: int) -> np.ndarray:
-    """(repeats x rows x steps) embeddings of rows of word hashes, 0 after a row's end."""
-    rows = np.arange(len(symbols))[None, :]
-    padded = np.concatenate((symbols, np.zeros((len(symbols), 1), np.uint64)), 1)
-    at = np.zeros((REPEATS, len(symbols)), np.int64)
-    out = np.empty((REPEATS, len(symbols), steps), np.uint64)
-    for j in range(steps):
-        now = padded[rows, np.minimum(at, length)]
-        out[:, :, j] = now
-        at += (words.mix(now ^ (_SEEDS[:, None] + np.uint64(j * _STEP % (1 << 64)))) >> np.uint64(63)).astype(np.int64)
-    return out
+    """Edits that an item of n words may have."""
+    return int((1 - SIMILARITY) * n + 1e-9)
+
+
+def _span(n: int) -> int:
+    """Steps that keys of an item of n > 2 words are sampled from: three fifths of n, rounded down to one of few values a doubling.
+
+    From LONG on they grow no more: after so many steps two walks rarely agree
+    under the most edits, and a longer item has the more starts.
+    """
+    most, span = max(3, 3 * min(n, LONG) // 5), 3
+    while (after := max(span + 1, span * 6 // 5)) <= most:
+        span = after
+    return span
+
+
+def _sampled(span: int, repeat: int) -> list[int]:
+    """The ascending steps, behind the first, of a key in one repetition; EARLY is among them where the span reaches it."""
+    fixed = [EARLY] if span > EARLY else []
+    rest = [j for j in range(1, span) if j not in fixed]
+    rng = np.random.default_rng([span, repeat])
+    return sorted([*fixed, *rng.choice(rest, min(SAMPLED - len(fixed), len(rest)), replace=False).tolist()])
+
+
+def embed(h: np.ndarray, end: np.ndarray, at: np.ndarray, repeat: int, steps: list[int], keep=None):
+    """(windows, {step: embedding at it}) of the CGK walk from `at` up to `end`; 0 behind the end.
+
+    `keep` is asked at step EARLY which windows go on; the others are left out from there.
+    """
+    padded = np.concatenate((h, np.zeros(steps[-1] + 2, np.uint64)))
+    own, now, out = np.arange(len(at)), at, {}
+    for j in range(steps[-1] + 1):
+        if j % 64 == 0:  # each word's bits for the next 64 steps
+            bits = words.mix(padded ^ np.uint64((int(_SEEDS[repeat]) + _STEP * (j // 64)) % (1 << 64)))
+        if j in steps:
+            out[j] = np.where(now < end[own], padded[now], np.uint64(0))
+        if j == EARLY and keep is not None:
+            some = keep(own, out)
+            own, now, out = own[some], now[some], {k: v[some] for k, v in out.items()}
+        now = now + (bits[now] >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64)
+    return own, out
 
 
-def _sampled(steps: int) -> np.ndarray:
-    """The steps of each repetition's key."""
-    return np.random.default_rng(steps).integers(0, steps, (REPEATS, SAMPLED))
+def _key(start: np.ndarray, found: dict, span: int, repeat: int) -> np.ndarray:
+    key = start + np.uint64(span * REPEATS + repeat + 1)
+    for k, j in enumerate(_sampled(span, repeat)):
+        key = key + found[j] * _ODD[k]
+    return words.mix(key)
+
+
+def _early(start: np.ndarray, found: dict, repeat: int) -> np.ndarray:
+    """What keys of all spans beyond EARLY depend on."""
+    return words.mix(start * _ODD[0] + found[EARLY] * _ODD[1] + np.uint64(repeat))
+
+
+def _steps(spans: list[int], repeat: int) -> list[int]:
+    return sorted({j for x in spans for j in _sampled(x, repeat)})
 
 
 def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -84,115 +128,103 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-@dataclass
 class Index:
-    """Items as word hashes, and their triples."""
-
-    ids: list[int]
-    items: list[np.ndarray]
-
-    def __post_init__(self):
-        grams, owner, place = [], [], []
-        for k, h in enumerate(self.items):
-            for j in range(len(h) - 2 if len(h) > 2 else int(len(h) > 0)):
-                grams.append(triple(h, j))
-                owner.append(k)
-                place.append(j)
-        order = np.argsort(np.array(grams, np.uint64), kind="stable")
-        self.grams = np.array(grams, np.uint64)[order]
-        self.owner, self.place = np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.grams >> np.uint64(42)).astype(np.int64)] = True
-        self.sizes = np.array([len(h) for h in self.items], np.int64)
-        self.edits = np.array([allowed(len(h)) for h in self.items], np.int64)
-        self.need = np.maximum(1, self.sizes - 2 - 3 * self.edits)
-        self.short = [(k, h) for k, h in enumerate(self.items) if 0 < len(h) < 3]
-
-    def hits(self, h: np.ndarray, first: np.ndarray):
-        """(row, item, word of the text where the item would start) of every shared triple."""
+    """Items as word hashes, and the keys of their windows."""
+
+    def __init__(self, ids: list[int], items: list[np.ndarray]):
+        self.ids, self.items = ids, items
+        self.sizes = np.array([len(x) for x in items], np.int64)
+        self.edits = np.array([allowed(n) for n in self.sizes.tolist()], np.int64)
+        self.flat = np.concatenate(items) if items else np.zeros(0, np.uint64)
+        first = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.span = np.array([_span(n) for n in self.sizes.tolist()], np.int64)
+        self.spans = sorted(set(self.span[self.sizes > 2].tolist()))
+        owner, place = self._anchors(first)
+        at, end = first[owner] + place, first[owner + 1]
+        keys, entries, early = [], [], []
+        for repeat in range(REPEATS if self.spans else 0):
+            _, found = embed(self.flat, end, at, repeat, _steps(self.spans, repeat))
+            for span in self.spans:
+                own = np.flatnonzero(self.span[owner] == span)
+                keys.append(_key(self.flat[at], found, span, repeat)[own])
+                entries.append(own)
+                if span > EARLY:
+                    early.append(_early(self.flat[at], found, repeat)[own])
+        self.early = _bits(np.concatenate(early)) if early else None
+        every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        entry = np.concatenate(entries)[order] if entries else np.zeros(0, np.int64)
+        self.keys, self.owner, self.place = every[order], owner[entry], place[entry]
+        self.starts = np.unique(self.flat[at])
+        self.seen, self.known = _bits(self.starts), _bits(self.keys)
+        self.short = [(k, x) for k, x in enumerate(items) if 0 < len(x) < 3]
+
+    def _anchors(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, word of it) of the starts of windows that items are put in under."""
+        owners = np.repeat(np.arange(len(self.items)), self.sizes)
+        place = np.arange(len(self.flat)) - first[owners]
+        # in how many items a word is: the fewer, the better a start it makes
+        pairs = np.unique(np.column_stack((self.flat, owners.astype(np.uint64))), axis=0) if len(owners) else np.zeros((0, 2), np.uint64)
+        word, count = np.unique(pairs[:, 0], return_counts=True)
+        common = count[np.searchsorted(word, self.flat)] if len(owners) else owners
+        ok = np.flatnonzero((place <= (self.sizes - self.span)[owners]) & (self.sizes[owners] > 2)) if len(owners) else owners
+        ok = ok[np.lexsort((words.mix(self.flat[ok]), common[ok], owners[ok]))]
+        start = np.searchsorted(owners[ok], np.arange(len(self.items)))
+        rank = np.arange(len(ok)) - start[owners[ok]]
+        ok = ok[rank < np.maximum(16, self.sizes // 4)[owners[ok]]]
+        return owners[ok], place[ok]
+
+    def proposed(self, h: np.ndarray, first: np.ndarray):
+        """(row, item, word of the text where the item would start) wherever keys meet; sorted, distinct."""
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        left = first[row + 1] - np.arange(len(h))
-        g = triples(h)
+        at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)])
+        if len(self.starts):
+            at = at[self.starts[np.minimum(np.searchsorted(self.starts, h[at]), len(self.starts) - 1)] == h[at]]
         parts = []
-        full = np.flatnonzero(self.seen[(g >> np.uint64(42)).astype(np.int64)] & (left >= 3))
-        lo, hi = np.searchsorted(self.grams, g[full]), np.searchsorted(self.grams, g[full], "right")
-        n = hi - lo
-        at = np.repeat(full, n)
-        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        parts.append((row[at], self.owner[entry], at - self.place[entry]))
-        for k, item in self.short:  # one or two words: exact occurrences
+        end, short = first[row[at] + 1], [x for x in self.spans if x <= EARLY]
+        for repeat in range(REPEATS if len(at) else 0):
+            done = []
+
+            def keep(own, found):
+                done.extend((own, _key(h[at], found, x, repeat)) for x in short)
+                return self.early[(_early(h[at], found, repeat) >> np.uint64(42)).astype(np.int64)]
+
+            own, found = embed(h, end, at, repeat, _steps(self.spans, repeat), keep if self.early is not None else None)
+            done += [(own, _key(h[at[own]], found, x, repeat)) for x in self.spans if self.early is None or x > EARLY]
+            for own, key in done:
+                some = np.flatnonzero(self.known[(key >> np.uint64(42)).astype(np.int64)])
+                lo, hi = np.searchsorted(self.keys, key[some]), np.searchsorted(self.keys, key[some], "right")
+                n = hi - lo
+                entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                where = np.repeat(at[own[some]], n)
+                parts.append((row[where], self.owner[entry], where - self.place[entry]))
+        left = first[row + 1] - np.arange(len(h))
+        for k, item in self.short:  # one or two words: as they are
             same = (h == item[0]) & (left >= len(item))
             if len(item) == 2:
                 same[:-1] &= h[1:] == item[1]
-            at = np.flatnonzero(same)
-            parts.append((row[at], np.full(len(at), k), at))
-        return tuple(np.concatenate(x) for x in zip(*parts))
-
-
-def triples(h: np.ndarray) -> np.ndarray:
-    padded = np.concatenate((h, np.zeros(2, np.uint64)))
-    return words.mix(h + words.mix(padded[1:-1] + words.mix(padded[2:] + np.uint64(7)) + np.uint64(5)))
-
-
-def triple(h: np.ndarray, j: int) -> int:
-    return int(triples(h[j : j + 3])[0])
-
-
-def _windows(index: Index, h: np.ndarray, first: np.ndarray):
-    """(row, item, start) of the windows that the filter leaves, sorted and distinct."""
-    row, item, start = index.hits(h, first)
-    pair = row * len(index.items) + item
-    _, where, n = np.unique(pair, return_inverse=True, return_counts=True)
-    keep = n[where] >= index.need[item] if len(pair) else np.zeros(0, bool)
-    pair, start = pair[keep], start[keep]
-    order = np.lexsort((start, pair))
-    pair, start = pair[order], start[order]
-    if len(pair):
-        # occurrences lie where enough triples stand within an item's length and its edits
-        new = np.concatenate(([True], (pair[1:] != pair[:-1]) | (start[1:] != start[:-1])))
-        pair, start = pair[new], start[new]
-    return pair // len(index.items), pair % len(index.items), start
-
-
-def _proposed(index: Index, h: np.ndarray, first: np.ndarray, row, item, start) -> np.ndarray:
-    """Which windows share a sampled key of their CGK embeddings with their item."""
-    out = np.zeros(len(row), bool)
-    order = np.argsort(index.sizes[item], kind="stable")
-    begin = 0
-    while begin < len(order):
-        end = begin + 1
-        widest = lambda e: int(index.sizes[item[order[e - 1]]])
-        while end < len(order) and (end + 1 - begin) * widest(end + 1) <= 8000 and widest(end + 1) <= 1.5 * widest(begin + 1) + 4:
-            end += 1
-        own = order[begin:end]
-        begin = end
-        n = int(index.sizes[item[own]].max())
-        a, b = np.zeros((len(own), n), np.uint64), np.zeros((len(own), n), np.uint64)
-        size = index.sizes[item[own]]
-        for k, w in enumerate(own.tolist()):
-            lo, hi = max(int(start[w]), int(first[row[w]])), min(int(start[w] + size[k]), int(first[row[w] + 1]))
-            a[k, : hi - lo] = h[lo:hi]
-            b[k, : size[k]] = index.items[item[w]]
-        chosen = _sampled(3 * n)
-        steps = int(chosen.max()) + 1
-        # steps beyond an item's own 3n hold its end mark in both and agree; they are left out by folding them back
-        x, y = cgk(a, size, steps), cgk(b, size, steps)
-        same = np.ones((REPEATS, len(own)), bool)
-        reps = np.arange(REPEATS)[:, None]
-        for k in range(SAMPLED):
-            at = chosen[:, k][:, None] % (2 * size)[None, :]
-            same &= x[reps, np.arange(len(own))[None, :], at] == y[reps, np.arange(len(own))[None, :], at]
-        out[own] = same.any(0)
+            where = np.flatnonzero(same)
+            parts.append((row[where], np.full(len(where), k), where))
+        if not parts:
+            return (np.zeros(0, np.int64),) * 3
+        row, item, start = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((start, item, row))
+        row, item, start = row[order], item[order], start[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+        return row[new], item[new], start[new]
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """By their highest 22 bits, which numbers can be among the values."""
+    out = np.zeros(1 << 22, bool)
+    out[(values >> np.uint64(42)).astype(np.int64)] = True
     return out
 
 
 def find(index: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, distance, start word, end word) of each row and item with a passage near enough."""
-    row, item, start = _windows(index, h, first)
-    if not len(row):
-        return []
-    keep = _proposed(index, h, first, row, item, start)
-    row, item, start = row[keep], item[keep], start[keep]
+    row, item, start = index.proposed(h, first)
     found = []
     k = 0
     while k < len(row):
@@ -200,7 +232,7 @@ def find(index: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int,
         while j < len(row) and row[j] == row[k] and item[j] == item[k]:
             j += 1
         own, d = index.items[item[k]], int(index.edits[item[k]])
-        lo, hi, best, covered = int(first[row[k]]), int(first[row[k] + 1]), None, -1
+        lo, hi, best = int(first[row[k]]), int(first[row[k] + 1]), None
         i = k
         while i < j:  # windows that overlap are verified as one stretch
             a = max(lo, int(start[i]) - d)
@@ -210,6 +242,10 @@ def find(index: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int,
                 b = int(start[i]) + len(own) + d
             b = min(b, hi)
             i += 1
+            # what the stretch lacks of the item's words are edits already
+            there = set(h[a:b].tolist())
+            if sum(w in there for w in own.tolist()) < len(own) - d:
+                continue
             distance, end = nearest(own, h[a:b])
             if distance <= d and (best is None or distance < best[0]):
                 back, length = nearest(own[::-1], h[a : a + end][::-1])
@@ -221,25 +257,42 @@ def find(index: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int,
 
 
 def _blocks(benchmark: DataFrame, item_key: str, item_text: str):
-    """(ids, word hashes) of BLOCK_ITEMS items or so at a time."""
-    blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
-    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    """Broadcast indexes of BLOCK_MB of items or so at a time."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // int(BLOCK_MB * 1e6)))
+    # equal items are told apart by their place, so no hot one makes a large block
+    items = items.withColumn("b", F.pmod(F.xxhash64("i", "t", F.monotonically_increasing_id()), F.lit(blocks)))
+    if blocks > 1:
+        items = store.kept(items, "benchmark-items")
     for k in range(blocks):
         rows = items.where(F.col("b") == k).orderBy("i", "t").collect()
         hashes = []
         for _, _, h, first in normal_words(pa.array([r["t"] for r in rows], pa.string())):
             hashes += [h[first[j] : first[j + 1]] for j in range(len(first) - 1)]
-        yield [r["i"] for r in rows], hashes
+        yield spark.sparkContext.broadcast(([r["i"] for r in rows], hashes))
+
+
+_held: dict = {}
+
+
+def _index(items) -> Index:
+    """A broadcast block's index, made once a worker."""
+    value = items.value
+    if _held.get("value") is not value:
+        _held.update(value=value, index=Index(*value))
+    return _held["index"]
 
 
-def _against(docs: DataFrame, ids: list[int], hashes: list[np.ndarray]) -> DataFrame:
+def _against(docs: DataFrame, items) -> DataFrame:
     """(doc_id, item_id, item_words, distance, similarity, start_word, end_word) of every leak of these items."""
 
     def run(batches):
-        index = Index(ids, hashes)
+        index = _index(items)
         for batch in batches:
             for a, b, h, first in normal_words(batch.column(1)):
-                rows = find(index, h, first) if len(h) and len(index.grams) else []
+                rows = find(index, h, first) if len(h) and len(index.flat) else []
                 keys = batch.column(0).slice(a, b - a).take(pa.array([r[0] for r in rows], pa.int64()))
                 n = [len(index.items[r[1]]) for r in rows]
                 columns = [keys, pa.array([index.ids[r[1]] for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
@@ -252,8 +305,8 @@ def _against(docs: DataFrame, ids: list[int], hashes: list[np.ndarray]) -> DataF
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, distance, similarity, start_word, end_word) of every leak, without a shuffle."""
     own, out = docs.select(F.col(key).cast("long").alias("doc_id"), text), None
-    for ids, hashes in _blocks(benchmark, item_key, item_text):
-        found = _against(own, ids, hashes)
+    for items in _blocks(benchmark, item_key, item_text):
+        found = _against(own, items)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -262,18 +315,18 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """The rows without a leak of any item, with all their columns, without a shuffle."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
 
-    def cleaner(ids, hashes):
+    def cleaner(items):
         def run(batches):
-            index = Index(ids, hashes)
+            index = _index(items)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for a, _, h, first in normal_words(batch.column(1)):
-                    if len(h) and len(index.grams):
+                    if len(h) and len(index.flat):
                         keep[[a + r[0] for r in find(index, h, first)]] = False
                 yield batch.filter(pa.array(keep))
 
         return run
 
-    for ids, hashes in _blocks(benchmark, item_key, item_text):
-        own = own.mapInArrow(cleaner(ids, hashes), own.schema)
+    for items in _blocks(benchmark, item_key, item_text):
+        own = own.mapInArrow(cleaner(items), own.schema)
     return own.select("row.*")

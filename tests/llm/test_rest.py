@@ -65,12 +65,49 @@ def test_decontamination_equals_brute_force(spark, documents):
 
 def test_cgk_agrees_more_on_nearer_sequences():
     rng = np.random.default_rng(3)
-    a = rng.integers(1, 1 << 63, (1, 40), dtype=np.uint64)
-    near, far = a.copy(), rng.integers(1, 1 << 63, (1, 40), dtype=np.uint64)
-    near[0, 20] = 5
-    size = np.array([40])
-    x, y, z = (decontamination.cgk(s, size, 100) for s in (a, near, far))
-    assert (x == y).mean() > (x == z).mean() + 0.3 and (x == x).all()
+    a = rng.integers(1, 1 << 63, 40, dtype=np.uint64)
+    near, far = a.copy(), rng.integers(1, 1 << 63, 40, dtype=np.uint64)
+    near[20] = 5
+
+    def agreement(x, y):
+        both = [decontamination.embed(h, np.array([40]), np.array([0]), r, list(range(80)))[1] for r in range(8) for h in (x, y)]
+        return np.mean([u[j] == v[j] for u, v in zip(both[::2], both[1::2]) for j in range(80)])
+
+    assert agreement(a, near) > agreement(a, far) + 0.3 and agreement(a, a) == 1
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 8, 10, 15, 16, 31, 32, 64, 130, 300])
+def test_recall_at_the_most_edits(n):
+    rng = np.random.default_rng(n)
+    items = [rng.integers(1, 1 << 62, n).astype(np.uint64) for _ in range(20)]
+    index = decontamination.Index(list(range(20)), items)
+    hits = 0
+    for k, item in enumerate(items):
+        for turn in range(10):
+            own = item.tolist()
+            for _ in range(decontamination.allowed(n)):
+                at, kind = int(rng.integers(0, len(own))), turn % 4
+                kind = int(rng.integers(0, 3)) if kind == 3 else kind
+                own[at : at + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 1 << 62))]
+            h = np.concatenate((rng.integers(1, 1 << 62, 25), own, rng.integers(1, 1 << 62, 25))).astype(np.uint64)
+            found = decontamination.find(index, h, np.array([0, len(h)]))
+            hits += any(r[1] == k and r[2] <= decontamination.allowed(n) for r in found)
+    assert hits >= 0.99 * 200
+
+
+def test_decontamination_of_very_long_texts_and_many_blocks(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_MB", 0.0001)
+    r = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(500)]
+    items = [(k, " ".join(r.choices(vocabulary, k=20))) for k in range(12)]
+    body = r.choices(vocabulary, k=200_000)
+    body[100_000:100_000] = items[3][1].split()
+    _, df = documents([(1, " ".join(body)), (2, "clean words"), (3, items[5][1])])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(df, bench).collect()
+    assert sorted((x.doc_id, x.item_id, x.distance) for x in got) == [(1, 3, 0), (3, 5, 0)]
+    assert [x.start_word for x in got if x.doc_id == 1] == [100_000]
+    assert [x.doc_id for x in decontamination.without_leaks(df, bench).collect()] == [2]
 
 
 def test_sharding(spark, documents, tmp_path):
