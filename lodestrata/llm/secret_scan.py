@@ -21,10 +21,19 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Names that secrets are assigned to, words that mark other kinds of numbers, common pieces of words.
+# Names that secrets are assigned to, those of them that name a password, words that mark other kinds of numbers.
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth"
-OTHERS = "commit|sha1|sha256|md5|etag|checksum|uuid|guid|isbn|issn|order|invoice|card|version|revision|phone|call|ref|id|build|page|img|file|photo|date|tracking|serial"
-PIECES = "tion|ment|able|ing|the|and|ver|ion|ent|ere|ous|ther|ung|schen|lich|heit|keit|eau|eux|que|elle|ado|cion|mente|con|pre|pro|file|image|photo|version|report|draft|final|index|page|user|data|test|build|release|en|er|re|an|on|in|st|le|te"
+PASSWORDS = "password|passwd|passphrase|pwd"
+OTHERS = "commit|sha1|sha256|md5|etag|checksum|uuid|guid|isbn|issn|order|invoice|card|version|revision|phone|call|ref|id|build|page|img|file|photo|date|tracking|serial|model"
+# Everyday words of three letters and more, in four languages, and words of file names, addresses and code. What they cover of a candidate is its dictionary coverage.
+DICTIONARY = """the and for that with this have from they will would there what about which when make can like time just know take people into year good some could them see other than then now look only come over think also back after use two how our work first well way even new want because any give day most was were been are had not but you all one out who get has his her she him its may such being both each few more same than too very between under where why while
+able ation ing ment ness less ful ship hood ence ance ible ical ious ward wise tion sion
+les des est une pour dans que qui sur avec par plus nous vous mais tout bien aussi leur cette entre sans temps jour eau elle
+der die das und ist nicht ein eine mit für auf dem den von wird auch nach zeit haus lich keit heit ung schaft isch
+los las una para con del como más pero todo también esta cuando donde ción mente dad ado
+file image photo picture version report draft final index page user data test build release article title content admin login home main site news blog post list item name type value table color style script module function class config setting server client service public private local global default object string number error message request response document download upload update backup archive letter music video audio
+password secret change welcome master dragon monkey summer winter spring autumn sunshine football correct horse battery staple hunter shadow open let love god king queen star world hello blue green black white red""".split()
+PIECES = "|".join(sorted({w for w in DICTIONARY if len(w) > 2}, key=lambda w: (-len(w), w)))
 
 _RUN = r"A-Za-z0-9+/_~\-"
 _ASSIGN = rf"(?i:{NAMES})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?"
@@ -33,7 +42,7 @@ CANDIDATE = rf"{_ASSIGN}[^\s\"'|]{{6,}}|(?<![{_RUN}])(?=[A-Za-z+/_~\-]*[0-9])[{_
 SIDE = 60
 CUTOFF = 0.5
 
-FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "changes", "distinct", "hex", "numeric", "covered", "slashes", "underscores", "dashes", "assigned", "named", "other_kind", "in_path", "at_sign", "quoted", "known", "groups")
+FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "changes", "distinct", "hex", "numeric", "covered", "slashes", "underscores", "dashes", "assigned", "named", "other_kind", "in_path", "at_sign", "quoted", "known", "groups", "password")
 
 
 def _count(value: Column, pattern: str) -> Column:
@@ -69,6 +78,7 @@ def _features(x: Column) -> Column:
         "at_sign": flag(right.rlike("^[.a-z0-9-]*@") | left.rlike("@$")),
         "quoted": flag(left.rlike("[\"']$") | x["p"].rlike("[\"']$")),
         "known": flag(v.rlike(known)),
+        "password": flag(F.lower(x["p"]).rlike(PASSWORDS)),
         "groups": flag(v.rlike(r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")),
     }
     return F.struct(*[made[k].cast("double").alias(k) for k in FEATURES])
@@ -133,29 +143,33 @@ class Forest:
         return sum(votes[1:], votes[0]) / float(len(votes))
 
 
-def labelled_findings(spark: SparkSession, rows: int = 900, seed: int = 11) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 1600, seed: int = 11) -> DataFrame:
     """(text, value, is_secret): written forms of secrets and of what only looks like them, from templates."""
     r = random.Random(seed)
     some = lambda n, chars: "".join(r.choice(chars) for _ in range(n))
     hexes, digits, upper, base = "0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    word = lambda: "".join(r.choice(("the", "ou", "an", "re", "ti", "ble", "en", "le", "ch", "ung", "ver", "ado", "que", "ing")) for _ in range(r.randint(1, 5)))
-    h = lambda n: some(n, hexes) if r.random() < 0.8 else some(n, hexes).upper()
+    word = lambda: r.choice(DICTIONARY)
+    name = lambda: "".join(word() for _ in range(r.randint(1, 3)))
+    h = lambda n: some(n, hexes) if r.random() < 0.7 else some(n, hexes).upper()
+    mark = lambda: r.choice(("", "", "", ".", ",", "!", ";", "!!", "...", "***", ")"))
+    strong = base + "!?#$%&*+/"
     secret = [
-        lambda: ("token = \"%s\"", h(40)), lambda: ("password=%s", h(18)), lambda: ("%s", "AKIA" + some(16, upper + "234567")), lambda: ("%s", "ghp_" + some(36, base)), lambda: ("api_key: %s", some(32, base)),
-        lambda: ("secret = '%s'", some(40, base + "+/")), lambda: ("%s", "sk_live_" + some(24, base)), lambda: ("PASSWORD=%s", some(r.randint(9, 16), base + "!?#")), lambda: ("token %s", h(40)), lambda: ("auth: %s", "eyJ" + some(40, base)),
-        lambda: ("%s", some(40, base + "+/")), lambda: ("passwd: %s", word() + some(3, digits)), lambda: ("secret key %s", h(32)), lambda: ("token = \"%s\"###", h(40)), lambda: ("TOKEN = \"%s\"!!", h(40).upper()),
+        lambda: ("token = \"%s\"", h(40)), lambda: ("password=%s", h(18)), lambda: ("%s", "AKIA" + some(16, upper + "234567")), lambda: ("%s", "ghp_" + some(36, base)), lambda: ("api_key: %s", some(32, base)), lambda: ("API_KEY=%s", h(32)),
+        lambda: ("secret = '%s'", some(40, base + "+/")), lambda: ("%s", "sk_live_" + some(24, base)), lambda: ("PASSWORD=%s", some(r.randint(9, 16), strong)), lambda: ("token %s", h(40)), lambda: ("auth: %s", "eyJ" + some(40, base)), lambda: ("Bearer %s", "eyJ" + some(40, base)),
+        lambda: ("%s", some(40, base + "+/")), lambda: ("passwd: %s", name() + some(3, digits)), lambda: ("password = %s", name() + some(1, digits) + name()), lambda: ("password: %s", word() + word()), lambda: ("pwd=%s", word() + some(r.randint(1, 4), digits) + r.choice("!?#$") + some(2, base)), lambda: ("passphrase: %s", "-".join(word() for _ in range(3))),
+        lambda: ("secret: %s", "".join(word() for _ in range(5))), lambda: ("secret key %s", h(32)), lambda: ("access_key=%s", some(40, base + "+/")), lambda: ("secret='%s'", some(r.randint(10, 16), strong)),
     ]
     clean = [
         lambda: ("%s", some(16, digits)), lambda: ("%s", some(r.randint(12, 19), digits)), lambda: ("commit %s", h(40)), lambda: ("md5: %s", h(32)), lambda: ("uuid %s", f"{h(8)}-{h(4)}-{h(4)}-{h(4)}-{h(12)}"), lambda: ("%s", f"{some(8, hexes)}-{some(4, hexes)}-{some(4, hexes)}-{some(4, hexes)}-{some(12, hexes)}"),
-        lambda: ("%s", f"/usr/{word()}/{word()}{some(2, digits)}/{word()}"), lambda: ("https://a.example.com/%s", f"{word()}/{word()}-{some(4, digits)}"), lambda: ("%s.jpg", f"IMG_{some(8, digits)}_{some(4, digits)}"), lambda: ("%s", f"{word()}_{word()}_{some(2, digits)}_{word()}"),
-        lambda: ("isbn %s", f"978-{some(1, digits)}-{some(4, digits)}-{some(4, digits)}-{some(1, digits)}"), lambda: ("order %s", f"ORD-20{some(2, digits)}-{some(6, digits)}"), lambda: ("%s", f"{word()}{word()}{word()}{some(1, digits)}xy"), lambda: ("%s@mail.example.com", f"{word()}{word()}-{some(6, digits)}"),
-        lambda: ("version %s", f"{some(1, digits)}-{some(2, digits)}-release-{some(4, digits)}"), lambda: ("%s", f"20{some(6, digits)}T{some(6, digits)}"), lambda: ("token: %s", word() + word() + "ing"), lambda: ("%s", f"{some(4, digits)}-{some(4, digits)}-{some(4, digits)}-{some(4, digits)}"),
-        lambda: ("%s", some(16, digits) + "+/"), lambda: ("sha256 %s", h(64)), lambda: ("secret: %s", word() + word()),
+        lambda: ("%s", f"/usr/{word()}/{word()}{some(2, digits)}/{word()}"), lambda: ("https://a.example.com/%s", f"{word()}/{word()}-{some(4, digits)}"), lambda: ("https://%s", f"www.{word()}.org/{word()}/20{some(2, digits)}/{some(2, digits)}/{word()}-{word()}-{some(5, digits)}"), lambda: ("%s.jpg", f"IMG_{some(8, digits)}_{some(4, digits)}"), lambda: ("%s", f"{word()}_{word()}_{some(2, digits)}_{word()}"),
+        lambda: ("isbn %s", f"978-{some(1, digits)}-{some(4, digits)}-{some(4, digits)}-{some(1, digits)}"), lambda: ("isbn %s", "978" + some(10, digits)), lambda: ("order %s", f"ORD-20{some(2, digits)}-{some(6, digits)}"), lambda: ("tracking %s", f"{some(1, digits)}Z{some(3, digits)}{some(2, upper)}{some(11, digits)}"), lambda: ("%s", f"{name()}{word()}{some(1, digits)}{word()}"), lambda: ("%s@mail.example.com", f"{word()}{word()}-{some(6, digits)}"),
+        lambda: ("version %s", f"{some(1, digits)}-{some(2, digits)}-release-{some(4, digits)}"), lambda: ("%s", f"{word()}-20{some(2, digits)}-{word()}-{some(4, digits)}-{word()}"), lambda: ("%s", f"20{some(6, digits)}T{some(6, digits)}"), lambda: ("token: %s", word() + word()), lambda: ("%s", f"{some(4, digits)}-{some(4, digits)}-{some(4, digits)}-{some(4, digits)}"), lambda: ("auth: %s", r.choice(("required", "optional", "enabled", "disabled", "needed"))),
+        lambda: ("%s", some(16, digits) + "+/"), lambda: ("sha256 %s", h(64)), lambda: ("secret: %s", word() + word()), lambda: ("/var/log/%s.gz", f"{word()}log-20{some(6, digits)}"), lambda: ("%s", f"{word()}/{word()}/{some(4, digits)}/{word()}"), lambda: ("secret: %s", word()),
     ]
     table = []
     for k in range(rows):
         form, value = r.choice(secret if k % 2 else clean)()
-        text = " ".join([word() for _ in range(r.randint(1, 6))] + [form % value] + [word() for _ in range(r.randint(0, 5))])
+        text = " ".join([word() for _ in range(r.randint(1, 6))] + [form % value + mark()] + [word() for _ in range(r.randint(0, 5))])
         table.append((text, value, k % 2))
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     values = ", ".join(f"({quote(t)}, {quote(v)}, {y})" for t, v, y in table)
