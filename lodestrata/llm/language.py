@@ -9,13 +9,14 @@ posteriors over all pages; priors are smoothed from host to registered domain to
 suffix to all pages, and a page's own share is taken out of its host's counts.
 
 The trigram models are fitted on a bounded sample: SAMPLE labelled documents of
-each of at most LANGUAGES languages, those of the smallest key hashes. Every
-page is judged on its whole text.
+each language, those of the smallest key hashes. Every page is judged on its
+whole text, whatever its length.
 
 Defined results: a null address or page gives no such evidence; a page without
-any takes the prior of all pages. Repeated rows each get a row; equally likely
-languages go by name. Without labelled documents the language is null. Further
-columns are ignored.
+any takes the prior of all pages. Repeated rows each get a row and each count;
+equally likely languages go by name. Labelled documents without key or text teach
+nothing; without labelled documents the language is null. An empty table gives no
+rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import store, words
 
-SAMPLE, LANGUAGES = 1000, 32
-#: Trigrams beyond this count no more (they are far from independent), and the weight of each.
-EVIDENCE, WEIGHT = 400, 0.4
+SAMPLE = 1000
+#: Trigrams of one text are far from independent: n of them weigh as n ** GROWTH.
+GROWTH = 0.8
 #: Pages' worth of the level above in each level's prior.
 PRIOR = 4.0
 _BUCKETS = 1 << 16
@@ -106,20 +107,19 @@ class TextModel:
             if len(full):
                 for k, row in enumerate(self.table):
                     out[a + full, k] = np.add.reduceat(row[g], first[:-1][full]) / n[full]
-            out[a:b] *= (np.minimum(n, EVIDENCE) * WEIGHT)[:, None]
+            out[a:b] *= (n.astype(float) ** GROWTH)[:, None]
         return out
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> TextModel:
     """Trigram models of the documents' labelled languages."""
-    own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    found = [r[0] for r in own.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()]
-    languages = sorted(found)
-    chosen = None
-    for x in languages:
-        some = own.where(F.col(lang) == x).select(key).orderBy(F.xxhash64(key), key).limit(sample)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    if chosen is None:
+    own = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    # one pass over keys and labels; each task passes on at most `sample` rows a language
+    first = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
+    chosen = own.select(key, lang).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= sample).drop("_r").distinct()
+    chosen = store.kept(chosen, "language-keys")
+    languages = sorted(r[0] for r in chosen.select(lang).distinct().collect())
+    if not languages:
         return TextModel([], np.zeros((0, _BUCKETS)))
     place = {x: k for k, x in enumerate(languages)}
 
@@ -134,8 +134,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         at = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"l": at[0], "b": at[1], "n": total[at]})
 
-    # at most LANGUAGES * sample rows are read here, and LANGUAGES * 65,536 counts come back
-    rows = store.kept(own.select(key, text, lang).join(F.broadcast(chosen.distinct()), key).select(text, lang), "language-sample")
+    # `sample` rows a language are read here, and 65,536 counts a language come back
+    rows = store.kept(own.select(key, text, lang).join(F.broadcast(chosen), [key, lang]).select(text, lang), "language-sample")
     counts = rows.mapInArrow(count, "l long, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(languages), _BUCKETS), 0.05)
     table[counts["l"].to_numpy(), counts["b"].to_numpy()] += counts["n"].to_numpy()
@@ -180,10 +180,11 @@ def identify(pages: DataFrame, model: TextModel, page: str = "html", url: str =
     trust = {c: totals(c) for c in ("declared", "addressed")}
     everywhere = np.array(seen.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in shares]).first(), float) + 0.5
     everywhere /= everywhere.sum()
-    joined = seen
-    for level in ("suffix", "domain", "host"):
-        sums = seen.groupBy(level).agg(*[F.sum(c).alias(f"{level}_{c}") for c in shares])
-        joined = joined.join(sums, level)
+    # a host has one domain and one suffix, so the sums of all levels stand beside it and pages are joined once
+    hosts = store.kept(seen.groupBy("host", "domain", "suffix").agg(*[F.sum(c).alias(f"host_{c}") for c in shares]), "host-shares")
+    for level in ("suffix", "domain"):
+        hosts = hosts.join(hosts.groupBy(level).agg(*[F.sum(f"host_{c}").alias(f"{level}_{c}") for c in shares]), level)
+    joined = seen.join(hosts.drop("domain", "suffix"), "host")
 
     def fuse(batches):
         for batch in batches:
