@@ -79,3 +79,8 @@ def read_sound(raw: bytes, sound: dict, payload: int) -> bytes:
 @F.pandas_udf(T.BinaryType())
 def riff_udf(data: pd.Series, channels: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else riff(bytes(d), int(c), int(r)) for d, c, r in zip(data, channels, rate)], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def packets_udf(data: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None else packets_of(bytes(d)) for d in data], dtype=object)

@@ -6,10 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def prefix_offsets(rows: DataFrame, size: str, order: list[str], group: list[str], out: str = "offset") -> DataFrame:
-    """Each row's offset: the sum of the sizes before it in its group."""
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("bigint"))
+def prefix_offsets(rows: DataFrame, size: str, order: list[str], group: list[str], out: str = "offset", chunk: int = 1 << 20) -> DataFrame:
+    """Each row's offset: the sum of the sizes before it in its group.
+
+    Where the first order column is a whole number, sums go in two levels: inside
+    ranges of `chunk` of its values, then over the ranges' totals, so a group of
+    any size is dealt to many tasks.
+    """
+    if rows.schema[order[0]].dataType.typeName() not in ("integer", "long", "short", "byte"):
+        before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(out, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("bigint"))
+    ranged = rows.withColumn("_range", F.floor(F.col(order[0]) / chunk))
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*[f"_g{k}" for k in range(len(group))]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_range").alias("_r")).agg(F.sum(size).alias("_total"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(above), F.lit(0)))
+    same = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(group)] + [F.col("_range").eqNullSafe(F.col("_r"))]
+    made = ranged.withColumn("_own", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(totals, same)
+    return made.select(*rows.columns, (F.col("_before") + F.col("_own")).cast("bigint").alias(out))
 
 
 def sizes_from_offsets(rows: DataFrame, offset: str, end, order: list[str], group: list[str], out: str = "size") -> DataFrame:
@@ -38,9 +52,9 @@ def locate(points: DataFrame, splits: DataFrame, point: str) -> DataFrame:
 
 
 def follows_within(rows: DataFrame, kind: str, first: str, then: str, order: str, group: list[str], reach: int) -> DataFrame:
-    """Rows of kind `first` with the next `then` at most `reach` rows on and no `first` between: one sort a group."""
+    """Rows of kind `first` with the next `then` at most `reach` rows on and no `first` between: one sort a group, and frames of `reach` rows."""
     own = Window.partitionBy(*group).orderBy(order)
-    ahead = own.rowsBetween(1, Window.unboundedFollowing)
+    ahead = own.rowsBetween(1, reach)
     out = rows.withColumn("_row", F.row_number().over(own))
     out = out.withColumn("_then", F.first(F.when(F.col(kind) == then, F.struct("_row", order)), ignorenulls=True).over(ahead))
     out = out.withColumn("_again", F.first(F.when(F.col(kind) == first, F.col("_row")), ignorenulls=True).over(ahead))

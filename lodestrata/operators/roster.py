@@ -52,6 +52,20 @@ def team_colours(data: bytes, led: bool = False) -> list[dict]:
     return [{"team": t, "primary": data[place(k) + PRIMARY_AT :][:3].hex(), "secondary": data[place(k) + SECONDARY_AT :][:3].hex()} for k, t in enumerate(TEAMS)]
 
 
+def blank(colours: list[tuple[str, str]]) -> bytes:
+    """A save that holds colours (primary, secondary as RRGGBB) of the teams, then of their lights, and nothing else."""
+    body = bytearray(COLOUR_STRIDE * (2 * len(TEAMS) + 10))
+    for k, pair in enumerate(colours):
+        at = k * COLOUR_STRIDE
+        body[at + INDEX_AT], body[at + TEAM_AT] = k, k % len(TEAMS)
+        for place, value in zip((PRIMARY_AT, SECONDARY_AT), pair):
+            body[at + place : at + place + 3] = bytes.fromhex(value)
+    head = bytearray(DATA_BASE)
+    struct.pack_into(">I", head, 8, 1)
+    struct.pack_into(">3I", head, DIRECTORY, COLOUR_CHUNK, len(body) // COLOUR_STRIDE, 0)
+    return bytes(head + body)
+
+
 def with_colour(data: bytes, team: str, primary: str | None = None, secondary: str | None = None, led: bool = False) -> bytes:
     """The save with a team's colours set in place; its length never changes."""
     base, stride = colour_table(data)

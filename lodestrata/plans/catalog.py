@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import census, codecs, layout, naming  # noqa: F401  they register their queries
+from lodestrata.plans import archives, census, codecs, fields, layout, media, naming  # noqa: F401  they register their queries
 from lodestrata.plans.registry import ORACLES, QUERIES
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +33,21 @@ def spread(scan: DataFrame) -> DataFrame:
     """A scan with fewer parts than there are cores (one small file, one row group) dealt to all of them; others as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path that nothing uses yet in the folder that all executors share (a local one only where one machine does all and none is set)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-shared")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
