@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from lodestrata.llm import pretoken, store
 
 #: Bytes of texts that are taken together.
-CHUNK = 4 << 20
+CHUNK = 1 << 18
 #: Places in a worker's memo, as a power of two (some 60 bytes each, half of them used).
-MEMO = 19
+MEMO = 18
 #: Fragments of more bytes are merged over a heap.
 LONG = 48
 
@@ -47,8 +47,9 @@ class ForcedBoundaryBPE:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.specials, self.path = pretoken.Specials(path), path
+            file = json.load(f)
+        model, self.path = file["model"], path
+        self.specials = pretoken.Specials(file["added_tokens"])
         self.memo = pretoken.Memo(MEMO)
         self.end: str = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -82,16 +83,35 @@ class ForcedBoundaryBPE:
     def _merges(self, merges: list[tuple[int, int, int]]) -> None:
         """An open-addressing table from a pair of ids to the merge's rank."""
         self.made = np.array([m[2] for m in merges], np.int64)
-        self.rank = {(a, b): r for r, (a, b, _) in reversed(list(enumerate(merges)))}
-        bits = max(4, (8 * len(merges)).bit_length())
+        bits = max(4, (4 * len(merges)).bit_length())
         self.shift, mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.ranks = np.full(mask + 1, -1, np.int64), np.full(mask + 1, _NONE)
-        for (a, b), r in self.rank.items():
+        for r, (a, b, _) in enumerate(merges):
             key = a << 32 | b
-            at = int((key * int(_SPREAD) & (1 << 64) - 1) >> int(self.shift))
-            while self.keys[at] >= 0:
+            at = self._home(key)
+            while self.keys[at] >= 0 and self.keys[at] != key:
                 at = (at + 1) & mask
-            self.keys[at], self.ranks[at] = key, r
+            if self.keys[at] < 0:
+                self.keys[at], self.ranks[at] = key, r
+
+    def _home(self, key: int) -> int:
+        return (key * int(_SPREAD) & (1 << 64) - 1) >> int(self.shift)
+
+    def rank(self, a: int, b: int) -> int | None:
+        """The rank of one pair of ids."""
+        key = a << 32 | b
+        at = self._home(key)
+        while (there := self.keys.item(at)) >= 0:
+            if there == key:
+                return self.ranks.item(at)
+            at = (at + 1) & (len(self.keys) - 1)
+        return None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": None}  # each worker has its own
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, memo=pretoken.Memo(MEMO))
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, _NONE where they never merge."""
@@ -146,9 +166,9 @@ class ForcedBoundaryBPE:
 
     def _heap(self, ids: list[int]) -> list[int]:
         """All merges of one fragment, over a linked list and a heap of (rank, place)."""
-        n, get = len(ids), self.rank.get
+        n, get = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get((a, b))) is not None]
+        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get(a, b)) is not None]
         heapq.heapify(heap)
         while heap:
             r, k, a, b = heapq.heappop(heap)
@@ -157,7 +177,7 @@ class ForcedBoundaryBPE:
                 continue
             ids[k], ids[j], after[k] = int(self.made[r]), -1, after[j]
             for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right < n and (r := get((ids[left], ids[right]))) is not None:
+                if left >= 0 and right < n and (r := get(ids[left], ids[right])) is not None:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
             if after[k] < n:
                 before[after[k]] = k
@@ -227,14 +247,28 @@ def encoder(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
+_sent: dict = {}
+
+
+def _broadcast(context, path: str):
+    """The encoder as one broadcast an application, some MB by the tokenizer's size: workers keep what they were sent."""
+    key = context.applicationId, path
+    if key not in _sent:
+        _sent.clear()
+        _sent[key] = context.broadcast(encoder(path))
+    return _sent[key]
+
+
 def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = (), digests: bool = False) -> DataFrame:
     """(key, kept columns..., n_tokens, ids binary, decoded string) of every row, without a shuffle; with `digests`, their sha256 instead."""
     fields = [f for f in docs.select(key, *keep).schema.fields]
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids binary, decoded string"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + made
 
+    held = _broadcast(docs.sparkSession.sparkContext, path)
+
     def run(batches):
-        coder = encoder(path)
+        coder = held.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for a, b in store.chunks(store.utf8(texts)[1], CHUNK):
@@ -250,4 +284,4 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", key: str = "do
                     columns = [pa.array([bytes(x) for x in id_bytes], pa.binary()), pa.array([str(x, "utf-8") for x in said], pa.string())]
                 yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(ends - starts), *columns], names=[*own.schema.names[:-1], *(x.split()[0] for x in made.split(", "))])
 
-    return docs.select(key, *keep, text).mapInArrow(run, schema)
+    return docs.select(key, *keep, text).mapInArrow(store.released(run), schema)

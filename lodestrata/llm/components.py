@@ -13,10 +13,11 @@ def _settled(parent: DataFrame) -> DataFrame:
     while True:
         up = parent.select(F.col("node").alias("to"), F.col("to").alias("_far"))
         longer = parent.join(up, "to", "left").select("node", F.coalesce("_far", "to").alias("far"), "to")
-        longer = store.kept(longer, "roots")
-        moved = longer.where(F.col("far") != F.col("to")).limit(1).count()
-        parent = longer.select("node", F.col("far").alias("to"))
-        if not moved:
+        longer = store.kept(longer.select("node", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")), "roots")
+        store.drop(parent)
+        parent = longer.select("node", "to")
+        parent._kept_at = longer._kept_at
+        if not longer.where("moved").limit(1).count():
             return parent
 
 
@@ -34,6 +35,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_low"))
         parent = _settled(store.kept(parent.select("node", F.least("node", "_low").alias("to")), "parents"))
+        before, last = label, edges
         if label is None:
             label = parent.withColumnRenamed("to", "component")
         else:
@@ -44,5 +46,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges = edges.join(up, "a").join(low, "b").where(F.col("_a") != F.col("_b"))
         edges = store.kept(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "links")
         label = store.kept(label, "labels")
+        store.drop(parent, last, *([before] if before is not None else []))
         if not edges.limit(1).count():
             return label

@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 REPEATS, SAMPLED, EARLY, LONG = 8, 4, 3, 64
 #: Text of items that a worker holds at a time.
 BLOCK_MB = 8
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _SEEDS = np.random.default_rng(71).integers(0, 1 << 63, REPEATS, dtype=np.uint64)
 _ODD = np.random.default_rng(72).integers(0, 1 << 62, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,7 +177,7 @@ class Index:
     def proposed(self, h: np.ndarray, first: np.ndarray):
         """(row, item, word of the text where the item would start) wherever keys meet; sorted, distinct."""
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)])
+        at = np.flatnonzero(self.seen(h))
         if len(self.starts):
             at = at[self.starts[np.minimum(np.searchsorted(self.starts, h[at]), len(self.starts) - 1)] == h[at]]
         parts = []
@@ -187,12 +187,12 @@ class Index:
 
             def keep(own, found):
                 done.extend((own, _key(h[at], found, x, repeat)) for x in short)
-                return self.early[(_early(h[at], found, repeat) >> np.uint64(42)).astype(np.int64)]
+                return self.early(_early(h[at], found, repeat))
 
             own, found = embed(h, end, at, repeat, _steps(self.spans, repeat), keep if self.early is not None else None)
             done += [(own, _key(h[at[own]], found, x, repeat)) for x in self.spans if self.early is None or x > EARLY]
             for own, key in done:
-                some = np.flatnonzero(self.known[(key >> np.uint64(42)).astype(np.int64)])
+                some = np.flatnonzero(self.known(key))
                 lo, hi = np.searchsorted(self.keys, key[some]), np.searchsorted(self.keys, key[some], "right")
                 n = hi - lo
                 entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -215,11 +215,16 @@ class Index:
         return row[new], item[new], start[new]
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    """By their highest 22 bits, which numbers can be among the values."""
-    out = np.zeros(1 << 22, bool)
-    out[(values >> np.uint64(42)).astype(np.int64)] = True
-    return out
+class _bits:
+    """Which numbers can be among some values, by their highest bits: a table of some 32 places a value."""
+
+    def __init__(self, values: np.ndarray):
+        self.shift = np.uint64(64 - min(26, max(12, (32 * len(values)).bit_length())))
+        self.there = np.zeros(1 << 64 - int(self.shift), bool)
+        self.there[(values >> self.shift).astype(np.int64)] = True
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        return self.there[(values >> self.shift).astype(np.int64)]
 
 
 def find(index: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -299,7 +304,7 @@ def _against(docs: DataFrame, items) -> DataFrame:
                 columns += [pa.array([1 - r[2] / k for r, k in zip(rows, n)], pa.float64()), *(pa.array([r[c] for r in rows], pa.int64()) for c in (3, 4))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "item_words", "distance", "similarity", "start_word", "end_word"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, item_words long, distance long, similarity double, start_word long, end_word long")
+    return docs.mapInArrow(store.released(run), "doc_id long, item_id long, item_words long, distance long, similarity double, start_word long, end_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -313,14 +318,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows without a leak of any item, with all their columns, without a shuffle."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    own, at = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), docs.columns.index(text)
 
     def cleaner(items):
         def run(batches):
             index = _index(items)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for a, _, h, first in normal_words(batch.column(1)):
+                for a, _, h, first in normal_words(batch.column(0).field(at)):
                     if len(h) and len(index.flat):
                         keep[[a + r[0] for r in find(index, h, first)]] = False
                 yield batch.filter(pa.array(keep))
@@ -328,5 +333,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         return run
 
     for items in _blocks(benchmark, item_key, item_text):
-        own = own.mapInArrow(cleaner(items), own.schema)
+        own = own.mapInArrow(store.released(cleaner(items)), own.schema)
     return own.select("row.*")

@@ -17,7 +17,7 @@ and bitmaps of the differences bound the latter.
 
 Defined results: null and empty texts, and texts without words, have empty sets
 and link with nothing. Rows that repeat, and rows with equal keys, each get a
-row. Links are found between classes of equal sets, whatever the keys of their
+row. Texts of any length are taken whole. Links are found between classes of equal sets, whatever the keys of their
 rows, so texts of one key are linked each by itself. A row without key is linked
 like others, but names no component: a component of such rows alone has a null
 id, and they are kept. Further columns are ignored.
@@ -41,7 +41,7 @@ BASE, RATE = 1.2, 20.0
 MARGIN = 0.17
 #: Ids that are broadcast to pick rows from the documents (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Columns of a member's differences from its hub: a bitmap of 64 bits each.
 BITS = [f"d{k}" for k in range(8)]
 #: Pairs of full sets that Python gets at a time.
@@ -124,7 +124,7 @@ def sketch(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id")
                 columns = [*(batch.column(k).slice(a, b - a) for k in (0, 1)), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), pa.array(regs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "n_shingles", "s1", "s2", "regs"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), _row_hash(text, key).alias("at"), text).mapInArrow(run, "doc_id long, at long, n_shingles long, s1 long, s2 long, regs binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), _row_hash(text, key).alias("at"), text).mapInArrow(store.released(run), "doc_id long, at long, n_shingles long, s1 long, s2 long, regs binary")
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -139,7 +139,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
                 est = similarity(x, y, *(batch.column(k).to_numpy().astype(float) for k in (2, 4)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(est)], names=["a", "b", "est"])
 
-    estimated = joined.select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(run, "a long, b long, est double")
+    estimated = joined.select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(store.released(run), "a long, b long, est double")
     return estimated.where(F.col("est") >= threshold - MARGIN)
 
 
@@ -156,7 +156,9 @@ def _members_of(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(members, pa.binary())], names=["id", "members"])
 
     own = docs.select(_row_hash(text, key).alias("at"), F.col(text).alias("_text")).join(F.broadcast(ids) if small else ids, "at")
-    return store.kept(own.select("id", "_text").mapInArrow(collect, "id long, members binary").dropDuplicates(["id"]), "full-sets")
+    sets = store.kept(own.select("id", "_text").mapInArrow(store.released(collect), "id long, members binary").dropDuplicates(["id"]), "full-sets")
+    store.drop(ids)
+    return sets
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,7 +182,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, per
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return _with_sets(pairs, sets).mapInArrow(compare, "a long, b long")
+    with store.small_batches(docs.sparkSession, PAIRS):
+        found = store.kept(_with_sets(pairs, sets).mapInArrow(store.released(compare), "a long, b long"), "links")
+    store.drop(sets)
+    return found
 
 
 def _differences(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, text: str, key: str) -> DataFrame:
@@ -201,9 +206,11 @@ def _differences(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int,
             columns = [batch.column(0), batch.column(1), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)), *(pa.array(words_[:, k]) for k in range(len(BITS)))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    found = _with_sets(pairs, sets).mapInArrow(split, ", ".join(f"{c} long" for c in names))
+    found = _with_sets(pairs, sets).mapInArrow(store.released(split), ", ".join(f"{c} long" for c in names))
     with store.small_batches(docs.sparkSession, PAIRS):
-        return store.kept(found, "differences")
+        found = store.kept(found, "differences")
+    store.drop(sets)
+    return found
 
 
 def _most_shared(n: str, x: str, y: str) -> Column:
@@ -236,11 +243,13 @@ def _judged(docs: DataFrame, size: int, percent: int, text: str, key: str) -> Da
     spark = docs.sparkSession
     none = spark.createDataFrame([], "a long, b long")
     links, tested, label, bound = none, none, None, None
+    spent = [reps, members]  # what only the rounds read
     # first the hub of each bucket, one pair a member; then the other hubs, then more of them
     for hubs in (0, 1, 8, 64, None):
         if hubs == 0:
             pairs = members.where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
             first = store.kept(_plausible(pairs, reps, threshold), "plausible")
+            spent.append(first)
             pairs = first.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
         elif hubs == 1:
             pairs = first.select("a", "b")
@@ -250,9 +259,12 @@ def _judged(docs: DataFrame, size: int, percent: int, text: str, key: str) -> Da
             state = state.join(torn.hint("shuffle_hash"), "band").select("band", "rep", "n", "c", "m", "hub")
             if bound is None:
                 large = state.where(F.col("m") > LARGE).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-                bound = _differences(docs, store.kept(large, "large-buckets"), reps, size, text, key)
+                large = store.kept(large, "large-buckets")
+                bound = _differences(docs, large, reps, size, text, key)
+                spent += [large, bound]
             state = state.join(bound, ["rep", "hub"], "left")
             state = store.kept(state.select("band", "rep", "n", "c", "m", *[F.when(F.col("m") > LARGE, F.col(x)).alias(x) for x in ("lacks", "has", *BITS)]), "torn-buckets")
+            spent.append(state)
             if not state.limit(1).count():
                 break
             place = F.pmod(F.xxhash64("band", "rep"), F.lit(1 << 30)) / float(1 << 30)
@@ -275,13 +287,13 @@ def _judged(docs: DataFrame, size: int, percent: int, text: str, key: str) -> Da
             if label is not None:
                 continue
         found = _verified(docs, pairs, reps, size, percent, text, key)
-        with store.small_batches(spark, PAIRS):
-            found = store.kept(found, "links")
+        spent += [pairs, found, *([label] if label is not None else [])]
         tested = tested.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         links = links.unionByName(found)
         label = connected_components(links)
 
     known = store.kept(reps.select("s1", "s2", "n", "rep", "least").join(label.withColumnRenamed("node", "rep"), "rep", "left"), "classes")
+    store.drop(*spent, label)
     # a class without links is named by its own smallest key
     names = known.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("_name"))
     known = known.join(names, "component", "left")

@@ -428,4 +428,4 @@ def personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id", fiel
                 columns.append(pa.array([len(every) for _, every in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, names=[key, *counts, "base_sha256", "spans", "n_spans"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in counts) + ", base_sha256 string, spans string, n_spans long")
+    return docs.select(key, text).mapInArrow(store.released(run), f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in counts) + ", base_sha256 string, spans string, n_spans long")

@@ -7,7 +7,6 @@ and the ids of texts are gathered by index.
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from collections.abc import Callable
@@ -70,9 +69,7 @@ def library_words(text: str, path: str) -> list[str]:
 class Specials:
     """Cuts texts at the special strings of a tokenizer file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+    def __init__(self, added: list[dict]):
         self.ids = {x["content"]: x["id"] for x in added}
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.ids, key=len, reverse=True)) + ")") if added else None
 

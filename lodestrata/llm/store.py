@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -13,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or, where one machine does all and it is unset, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "lodestrata-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,26 +35,47 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._kept_at = path
+    return made
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables that `kept` wrote and that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "_kept_at", None):
+            spark = df.sparkSession
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """While it lasts, what is executed hands at most `rows` rows at a time to Python: for rows of wide values."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int, mb: int = 8):
+    """While it lasts, what is executed hands at most `rows` rows, of some `mb` MB, at a time to Python."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": f"{mb << 20}b"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def released(run):
+    """`run` over a partition's batches; at its end the worker, which Spark uses again, gives freed memory back to the system."""
 
+    @functools.wraps(run)
+    def tidy(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return tidy
 
 
 def input_bytes(df: DataFrame) -> int:

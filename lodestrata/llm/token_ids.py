@@ -21,6 +21,7 @@ no file. Further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from array import array
@@ -92,7 +93,8 @@ class Encoder:
         self.of_words = Tokenizer(self.tok.model)
         self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.path = path
-        self.specials = pretoken.Specials(path)
+        with open(path, encoding="utf-8") as f:
+            self.specials = pretoken.Specials(json.load(f)["added_tokens"])
         self.memo = pretoken.Memo(MEMO)
 
     def encode_words(self, words: list[str]) -> pretoken.Ragged:

@@ -61,7 +61,7 @@ _JOINERS = "*@$'’-"
 WINDOW = 8
 FEATURES = 7
 #: Bytes of texts that are taken together, and states that an automaton holds before it starts anew.
-CHUNK, STATES = 2 << 20, 200_000
+CHUNK, STATES = 1 << 18, 20_000
 
 #: Hash functions that tell copies in the sample.
 KEYS = 8
@@ -489,17 +489,19 @@ def judged(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id
     """(row struct of the kept columns (None: all), held_out, score, predicted) of every row, without a shuffle."""
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row")
     held = (F.coalesce(remainder(key), F.lit(1)) == 0).alias("held_out")
-    own = docs.select(row, held, F.col(text).alias("text"))
+    within = docs.columns.index(text) if keep is None else None  # a row that holds the text is not given another
+    own = docs.select(row, held, *([] if keep is None else [F.col(text).alias("text")]))
 
     def run(batches):
         auto = _automaton(tuple(model.lexicon.items()), model.strong, model.spared)
         for batch in batches:
-            for a, b in store.chunks(store.utf8(batch.column(2))[1], CHUNK):
+            texts = batch.column(2) if within is None else batch.column(0).field(within)
+            for a, b in store.chunks(store.utf8(texts)[1], CHUNK):
                 part = batch.slice(a, b - a)
-                score = model.scores(auto.features([t or "" for t in part.column(2).to_pylist()]))
+                score = model.scores(auto.features([t or "" for t in texts.slice(a, b - a).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["row", "held_out", "score", "predicted"])
 
-    return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return own.mapInArrow(store.released(run), f"row {own.schema['row'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
