@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next stage's documents. Rejected documents go,
 secrets are blotted out, and the last stage returns each remaining document's
 ids and the digest of their decoded form.
+
+Defined results: documents with null or empty texts stay, as does a row without
+key; rows that repeat are judged alike, and of rows that are one text the one of
+the smallest key stays (all rows of that key, if it repeats). Texts of any length
+are taken whole. An empty table gives no rows. All stages but the last return the
+columns of `documents` and ignore others, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,6 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = store.kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with store.small_batches(spark, 500, 1):  # workers live through all stages
+        for name, stage in STAGES:
+            docs = store.kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
