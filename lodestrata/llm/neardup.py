@@ -8,12 +8,15 @@ members are compared with a hub, not with each other. A pair's similarity is
 estimated jointly from both sketches and both set sizes by maximum likelihood,
 and what may reach the threshold is verified on the full sets.
 
-What the first hub leaves apart in a bucket goes on: only pairs of different
-components are looked at, with 8, then 64 hubs a bucket, then every member, so
-no link between members of a bucket is lost and no cap is set. In large buckets
-most of those pairs are ruled out before they are made: two members share what
-both keep of the hub's set and the differences from it that they have in common,
-and bitmaps of the differences bound the latter.
+What the hubs leave apart goes on, and only pairs of different components are
+looked at. Small buckets are paired whole. The members of larger ones are keyed
+by their rarest shingles instead, so many that two linked sets must have one of
+them in common (prefix filter; any order is exact, counts only make a good one).
+What shares a key that many have meets its smallest set, and the rest is paired
+whole, but for pairs that a bound rules out before they are made: two members
+share what both keep of the hub's set and the differences from it that they have
+in common, and bitmaps of the differences bound the latter. So no link between
+members of a bucket is lost, no cap is set, and a pair is made once.
 
 Defined results: null and empty texts, and texts without words, have empty sets
 and link with nothing. Rows that repeat, and rows with equal keys, each get a
@@ -46,8 +49,10 @@ CHUNK = 1 << 19
 BITS = [f"d{k}" for k in range(8)]
 #: Pairs of full sets that Python gets at a time.
 PAIRS = 256
-#: Buckets of more members are held against the bound by their hub before pairs are made.
+#: Larger buckets are split by rare shingles, and larger keys meet a hub, before pairs are made.
 LARGE = 32
+#: Counters by which shingles are ordered, rare ones first.
+COUNTERS = 1 << 16
 
 _rng = np.random.default_rng(93)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -225,6 +230,58 @@ def _most_shared(n: str, x: str, y: str) -> Column:
     return hub - F.col(f"lacks{x}") - F.col(f"lacks{y}") + F.least(total(x) - apart(x, y), total(y) - apart(y, x))
 
 
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (words.mix(values) >> np.uint64(32)).astype(np.int64) % COUNTERS
+
+
+def _rarest(docs: DataFrame, wanted: DataFrame, reps: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
+    """(rep, n, items): the rarest shingles of every class in `wanted` (a, b), so many that any linked class has one of them."""
+    sets = _members_of(docs, wanted, reps, size, text, key)
+
+    def count(batches):
+        for batch in batches:
+            values, times = np.unique(store.utf8(batch.column(0))[0].copy().view(np.uint64), return_counts=True)
+            sums = np.bincount(_slots(values[times > 1]), times[times > 1], COUNTERS).astype(np.int64)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["slot", "times"])
+
+    counted = sets.select("members").mapInArrow(store.released(count), "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    times = np.zeros(COUNTERS, np.int64)
+    times[counted.column("slot").to_numpy()] = counted.column("times").to_numpy()
+
+    def cut(batches):
+        for batch in batches:
+            items, lengths = [np.zeros(0, np.uint64)], []
+            for x in batch.column(1):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                most = len(x) - -(-percent * len(x) // 100) + 1
+                items.append(x[np.lexsort((x, times[_slots(x)]))[:most]])
+                lengths.append((len(x), len(items[-1])))
+            ends = np.cumsum([0, *(k for _, k in lengths)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(items).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in lengths], pa.int64()), lists], names=["rep", "n", "items"])
+
+    with store.small_batches(docs.sparkSession, PAIRS):
+        found = store.kept(sets.mapInArrow(store.released(cut), "rep long, n long, items array<long>"), "rarest")
+    store.drop(sets)
+    return found
+
+
+def _in_reach(n: Column, pos: Column, other: Column, percent: int) -> Column:
+    """Whether the first shingle that a set of n shares with a linked one of `other` can be its rarest but pos."""
+    return (n - pos) * (100 + percent) >= percent * (n + other)
+
+
+def _keyed(rarest: DataFrame, percent: int) -> DataFrame:
+    """(band, rep, n, pos) of each shingle that some set in reach shares; pos is its place among the set's rarest."""
+    keys = store.kept(rarest.select("rep", "n", F.posexplode("items").alias("pos", "band")).select("band", "rep", "n", "pos"), "keys")
+    least = keys.groupBy("band").agg(F.min("n").alias("_least"), F.count("*").alias("_m")).where(F.col("_m") > 1)
+    rows = keys.join(least, "band").where(_in_reach(F.col("n"), F.col("pos"), F.col("_least"), percent))
+    rows = store.kept(rows.select("band", "rep", "n", "pos"), "keys-in-reach")
+    store.drop(keys)
+    return rows
+
+
 def _judged(docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
     """(doc_id, at, n_shingles, component_id, kept) of every row."""
     threshold = percent / 100
@@ -240,60 +297,75 @@ def _judged(docs: DataFrame, size: int, percent: int, text: str, key: str) -> Da
     members = store.kept(bands.join(buckets.hint("shuffle_hash"), "band"), "buckets")
     alike = lambda n, m: F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
 
-    spark = docs.sparkSession
-    none = spark.createDataFrame([], "a long, b long")
-    links, tested, label, bound = none, none, None, None
     spent = [reps, members]  # what only the rounds read
-    # first the hub of each bucket, one pair a member; then the other hubs, then more of them
-    for hubs in (0, 1, 8, 64, None):
-        if hubs == 0:
-            pairs = members.where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-            first = store.kept(_plausible(pairs, reps, threshold), "plausible")
-            spent.append(first)
-            pairs = first.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
-        elif hubs == 1:
-            pairs = first.select("a", "b")
-        else:
-            state = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-            torn = state.groupBy("band").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).where(F.col("_x") != F.col("_y")).select("band")
-            state = state.join(torn.hint("shuffle_hash"), "band").select("band", "rep", "n", "c", "m", "hub")
-            if bound is None:
-                large = state.where(F.col("m") > LARGE).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-                large = store.kept(large, "large-buckets")
-                bound = _differences(docs, large, reps, size, text, key)
-                spent += [large, bound]
-            state = state.join(bound, ["rep", "hub"], "left")
-            state = store.kept(state.select("band", "rep", "n", "c", "m", *[F.when(F.col("m") > LARGE, F.col(x)).alias(x) for x in ("lacks", "has", *BITS)]), "torn-buckets")
-            spent.append(state)
-            if not state.limit(1).count():
-                break
-            place = F.pmod(F.xxhash64("band", "rep"), F.lit(1 << 30)) / float(1 << 30)
-            chosen = state if hubs is None else state.where(place * F.col("m") < hubs)
-            hub = chosen.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), *[F.col(x).alias(f"{x}_b") for x in ("lacks", "has", *BITS)])
-            most = _most_shared("n", "", "_b")
-            reach = most.isNull() | (most * (1 + threshold) >= threshold * (F.col("n") + F.col("n_b")) - 1e-9)
-            pairs = state.join(hub, "band").where((F.col("c") != F.col("c_b")) & alike(F.col("n"), F.col("n_b")) & reach)
-            pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = _plausible(pairs, reps, threshold).select("a", "b")
-        if label is not None and hubs == 1:
-            for x in ("a", "b"):
-                pairs = pairs.join(label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
-            pairs = pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-        pairs = store.kept(pairs, "candidates")
-        if not pairs.limit(1).count():
-            if hubs is None:
-                break
-            if label is not None:
-                continue
-        found = _verified(docs, pairs, reps, size, percent, text, key)
-        spent += [pairs, found, *([label] if label is not None else [])]
-        tested = tested.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links = links.unionByName(found)
-        label = connected_components(links)
+    # the hub of each bucket, one pair a member: the likeliest hub first, then the others
+    hubs = members.where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = store.kept(hubs, "hub-pairs")
+    tried = hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = store.kept(_plausible(hubs, reps, threshold), "plausible")
+    likeliest = store.kept(first.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b")), "candidates")
+    links = _verified(docs, likeliest, reps, size, percent, text, key)
+    label = connected_components(links)
+    spent += [hubs, first, likeliest, links, label]
+
+    def joined(pairs: DataFrame) -> None:
+        """Adds what links the kept `pairs`, and renews the components."""
+        nonlocal links, label
+        spent.append(pairs)
+        if pairs.limit(1).count():
+            found = _verified(docs, pairs, reps, size, percent, text, key)
+            links = links.unionByName(found)
+            label = connected_components(links)
+            spent.extend((found, label))
+
+    def torn(rows: DataFrame) -> DataFrame:
+        """`rows` (band, rep, n, pos) of bands of several components, with c, m and the smallest set."""
+        own = rows.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
+        apart = own.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("n", "rep", "c")).alias("hub"), F.min("c").alias("_x"), F.max("c").alias("_y"))
+        apart = apart.where(F.col("_x") != F.col("_y")).select("band", "m", F.col("hub.n").alias("hub_n"), F.col("hub.rep").alias("hub"), F.col("hub.c").alias("hub_c"))
+        found = store.kept(own.join(apart.hint("shuffle_hash"), "band"), "torn-buckets")
+        spent.append(found)
+        return found
+
+    for x in ("a", "b"):
+        first = first.join(label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left")
+    joined(store.kept(first.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "candidates"))
+
+    rows = members.where(F.col("rep") != F.col("hub")).select("band", "rep", "n", F.lit(-1).alias("pos"))
+    for keyed, last in ((False, False), (True, False), (True, True)):
+        state = torn(rows).withColumn("whole", F.lit(last) | (F.col("m") <= LARGE))
+        bits = ["lacks", "has", *BITS] if last else []
+        if last:
+            met = store.kept(state.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "large-keys")
+            bound = _differences(docs, met, reps, size, text, key)
+            state = state.join(bound, ["rep", "hub"])
+            spent += [met, bound]
+        other = state.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("pos").alias("pos_b"), *[F.col(x).alias(f"{x}_b") for x in bits])
+        pairs = state.where("whole").join(other, "band").where((F.col("rep") < F.col("b")) & (F.col("c") != F.col("c_b")) & alike(F.col("n"), F.col("n_b")))
+        if keyed:
+            pairs = pairs.where(_in_reach(F.col("n"), F.col("pos"), F.col("n_b"), percent) & _in_reach(F.col("n_b"), F.col("pos_b"), F.col("n"), percent))
+        if last:
+            pairs = pairs.where(_most_shared("n", "", "_b") * (1 + threshold) >= threshold * (F.col("n") + F.col("n_b")) - 1e-9)
+        pairs = pairs.select("rep", "b")
+        if keyed and not last:
+            to_hub = state.where(~F.col("whole") & (F.col("c") != F.col("hub_c")) & alike(F.col("n"), F.col("hub_n")))
+            pairs = pairs.unionByName(to_hub.select("rep", F.col("hub").alias("b")))
+        pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+        pairs = store.kept(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        spent.append(pairs)
+        tried = tried.unionByName(pairs)
+        joined(store.kept(_plausible(pairs, reps, threshold).select("a", "b"), "candidates"))
+        rows = state.where(~F.col("whole")).select("band", "rep", "n", "pos")
+        if last or not rows.limit(1).count():
+            break
+        if not keyed:
+            wanted = store.kept(torn(rows).select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct(), "large-buckets")
+            rarest = _rarest(docs, wanted, reps, size, percent, text, key)
+            rows = _keyed(rarest, percent)
+            spent += [wanted, rarest, rows]
 
     known = store.kept(reps.select("s1", "s2", "n", "rep", "least").join(label.withColumnRenamed("node", "rep"), "rep", "left"), "classes")
-    store.drop(*spent, label)
+    store.drop(*spent)
     # a class without links is named by its own smallest key
     names = known.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("_name"))
     known = known.join(names, "component", "left")

@@ -82,6 +82,29 @@ def test_large_torn_buckets_lose_nothing(documents, monkeypatch):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 2, 80)
 
 
+def test_no_pair_is_made_twice(documents, monkeypatch):
+    """Far and near copies of one origin: what a hub or a bucket has ruled out isn't looked at again."""
+    monkeypatch.setattr(neardup, "LARGE", 3)
+    seen, plausible = [], neardup._plausible
+
+    def watched(pairs, *rest):
+        seen.extend((min(x.a, x.b), max(x.a, x.b)) for x in pairs.select("a", "b").collect())
+        return plausible(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_plausible", watched)
+    r = random.Random(4)
+    rows = []
+    for k in range(60):
+        body = [f"v{k}" for k in range(60)]
+        for _ in range(r.randint(3, 20)):
+            body[r.randrange(60)] = f"x{r.randrange(40)}"
+        rows.append((k, " ".join(body)))
+    _, df = documents(rows)
+    got = neardup.near_duplicates(df, 2).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == brute(rows, 2, 80)
+    assert len(seen) == len(set(seen))
+
+
 def test_rows_without_key_and_of_one_key_are_linked(documents):
     rows = corpus(11, 150)
     rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else key, t) for k, (key, t) in enumerate(rows)]
